@@ -8,8 +8,9 @@ dart of each coordinate. Two texts agree in a coordinate with the probability of
 rank limit falls with a text's total weight, so about k ln k darts are drawn whatever its length.
 
 Bands of coordinates are joined through their hash: within each band's bucket every text is paired with the bucket's
-first text, links are verified exactly on the shingle multisets, and linked texts fall into components. Pairs of
-different components that still share a bucket are verified too, so a link is lost only if no band holds both texts.
+first text, links are verified exactly on the shingle multisets, and linked texts fall into components. Texts of
+different components that still share a bucket are then compared block by block, so a link between components is lost
+only if no band holds both texts.
 
 Equal texts are one class from the start. A bucket's rows are never gathered: buckets are aggregated (count, minimum)
 and joined back, so a third of all rows may share one.
@@ -207,10 +208,81 @@ def verified(pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ha", "hb").mapInArrow(_similar(least), "a long, b long")
 
 
+def _crossing(query: list, query_comp: np.ndarray, others: list, other_comp: np.ndarray, least: float):
+    """(i, j) of similar texts of different components, one j for each query and component met.
+
+    ``query`` and ``others`` are packed shingle arrays. The others' shingles form one sorted posting list, and each
+    query adds up what it shares with all of them at once.
+    """
+    low = U(0xFFFF)
+    sizes = [len(x) for x in others]
+    packed = np.concatenate(others) if others else np.zeros(0, dtype=U)
+    owner = np.repeat(np.arange(len(others)), sizes)
+    h, w = packed >> U(16), (packed & low).astype(np.int64)
+    total = np.bincount(owner, weights=w, minlength=len(others))
+    order = np.argsort(h, kind="stable")
+    h, w, owner = h[order], w[order], owner[order]
+    for i, q in enumerate(query):
+        qh, qw = q >> U(16), (q & low).astype(np.int64)
+        start, stop = np.searchsorted(h, qh, "left"), np.searchsorted(h, qh, "right")
+        n = stop - start
+        if not n.any():
+            continue
+        at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shared = np.bincount(owner[at], weights=np.minimum(np.repeat(qw, n), w[at]), minlength=len(others))
+        ok = np.flatnonzero((shared >= least * (qw.sum() + total - shared) - 1e-9) & (other_comp != query_comp[i]))
+        if len(ok):
+            for j in ok[np.unique(other_comp[ok], return_index=True)[1]].tolist():
+                yield i, j
+
+
+def across_components(entries: DataFrame, groups: DataFrame, held: DataFrame, least: float, block: int = 512) -> DataFrame:
+    """Links (a, b) between texts of different components that share a bucket.
+
+    In each bucket that holds several components, texts outside the commonest one (the rest) are compared with all. Both
+    sides are dealt in blocks of about ``block`` texts, so no bucket has to fit one task; texts of the commonest
+    component are not compared with each other, so a bucket that is nearly one group costs about its length. Pairs
+    never leave the task that compares them: only links come out.
+    """
+    tagged = entries.select("bucket", "cls").join(sized(groups.withColumnRenamed("id", "cls")), "cls", "left")
+    tagged = tagged.select("bucket", "cls", F.coalesce("component", "cls").alias("component"))
+    per = tagged.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = per.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("kinds"), F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n")
+    ).where("kinds > 1")
+    blocks = lambda n: F.greatest(F.ceil(n / block), F.lit(1)).cast("int")
+    mixed = mixed.select("bucket", F.col("top.component").alias("major"), blocks(F.col("top.n")).alias("b0"), blocks(F.col("n") - F.col("top.n")).alias("b1"))
+    mixed = written(mixed, "mixed")
+    open_ = tagged.join(sized(mixed), "bucket")
+    h = F.xxhash64("cls", "bucket")
+    keys = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    rest = F.col("component") != F.col("major")
+    cols = ["bucket", "cls", "component"]
+    common = open_.where(~rest).select(*cols, F.lit(0).alias("kind"), F.explode(keys("b1")).alias("i"), F.pmod(h, "b0").cast("int").alias("j"))
+    query = open_.where(rest).withColumn("own", F.pmod(h, "b1").cast("int"))
+    to_common = query.select(*cols, F.lit(1).alias("kind"), F.col("own").alias("i"), F.explode(keys("b0")).alias("j"))
+    among = query.where("b1 > 1 or own = 0").withColumn("k", F.explode(keys("b1")))
+    among = among.select(*cols, F.when(F.col("own") <= F.col("k"), 2).otherwise(3).alias("kind"), F.least("own", "k").alias("i"), (-1 - F.greatest("own", "k")).alias("j"))
+
+    def compare(key, table):
+        i, j = key[1].as_py(), key[2].as_py()
+        kind, cls = table.column("kind").to_numpy(), table.column("cls").to_numpy()
+        comp = table.column("component").to_numpy()
+        texts = [x.values.to_numpy(zero_copy_only=False).view(U) for x in table.column("held")]
+        asks, told = (kind == 1, kind == 0) if j >= 0 else (kind == 2, kind == 2 if i == -1 - j else kind == 3)
+        q, o = np.flatnonzero(asks), np.flatnonzero(told)
+        found = list(_crossing([texts[x] for x in q], comp[q], [texts[x] for x in o], comp[o], least))
+        a = cls[q[[x for x, _ in found]]] if found else cls[:0]
+        b = cls[o[[x for _, x in found]]] if found else cls[:0]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    dealt = common.unionByName(to_common).unionByName(among).join(held, "cls")
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_texts(docs: DataFrame, least: float = 0.8, bands: int = 20, rows: int = 5, width: int = 5, keep_class: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, cluster_id (smallest doc_id of its group), cluster_size, n_links, kept.
+    """One row per row of ``docs``: doc_id, cluster_id (smallest doc_id of its group), cluster_size, kept.
 
-    ``n_links`` counts the other classes of equal texts that were found similar enough by direct comparison.
     ``keep_class`` adds cls, the class of equal texts (see :func:`text_class`).
     """
     table = written(band_table(docs, bands, rows, width), "bands")
@@ -227,36 +299,24 @@ def near_texts(docs: DataFrame, least: float = 0.8, bands: int = 20, rows: int =
     held = written(shingle_table(docs, sized(in_play), width), "shingles")
     links = written(verified(star, held, least), "links")
     groups = components(links)
-    # pairs that share a bucket but neither a first text nor a component
-    tagged = entries.select("bucket", "cls").join(sized(groups.withColumnRenamed("id", "cls")), "cls", "left")
-    tagged = tagged.select("bucket", "cls", F.coalesce("component", "cls").alias("component"))
-    open_ = tagged.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    left = written(tagged.join(open_, "bucket"), "open")
-    right = left.select("bucket", F.col("cls").alias("other"), F.col("component").alias("other_component"))
-    rest = left.join(right, "bucket").where("cls < other and component <> other_component")
-    rest = rest.select(F.col("cls").alias("a"), F.col("other").alias("b")).distinct()
-    known = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(rest.join(sized(known), ["a", "b"], "left_anti"), "rest")
-    if rest.limit(1).count():
-        more = written(verified(rest, held, least), "more")
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            groups = components(links)
-    drop_written(entries)
-    drop_written(held)
-    degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
-    tags = written(groups.withColumnRenamed("id", "cls").join(degree, "cls", "left"), "tags")
-    rows_of = table.join(sized(tags), "cls", "left").select(
-        "doc_id", "cls", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("bands").isNotNull(), F.coalesce("component", "cls")).alias("grp"),
-    )
-    many = rows_of.where("grp is not null").groupBy("grp").agg(F.min("doc_id").alias("cluster_id"), F.count(F.lit(1)).alias("cluster_size")).where("cluster_size > 1")
-    many = written(many, "clusters")
+    more = written(across_components(entries, groups, held, least), "more")
+    if more.limit(1).count():
+        groups = components(links.unionByName(more))
+    for spent in (entries, star, in_play, held, more, classes):
+        drop_written(spent)
+    rows_of = table.join(sized(groups.withColumnRenamed("id", "cls")), "cls", "left").select(
+        "doc_id", "cls", F.when(F.col("bands").isNotNull(), F.coalesce("component", "cls")).alias("grp")
+    )
+    many = rows_of.where("grp is not null").groupBy("grp").agg(F.min("doc_id").alias("cluster_id"), F.count(F.lit(1)).alias("cluster_size"))
+    many = written(many.where("cluster_size > 1"), "clusters")
     out = rows_of.join(sized(many), "grp", "left")
-    same = out.groupBy("doc_id", "cls", "grp", "n_links", "cluster_id", "cluster_size").agg(F.count(F.lit(1)).alias("copies"))
+    same = out.groupBy("doc_id", "cls", "grp", "cluster_id", "cluster_size").agg(F.count(F.lit(1)).alias("copies"))
     each = same.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    first = F.col("cluster_size").isNull() | F.col("grp").isNull() | (F.col("doc_id").eqNullSafe(F.col("cluster_id")) & (F.col("copy") == 1))
+    lead = F.col("doc_id").eqNullSafe(F.col("cluster_id")) & (F.col("copy") == 1)
     return each.select(
         *(["cls"] if keep_class else []),
-        "doc_id", F.coalesce("cluster_id", "doc_id").alias("cluster_id"), F.coalesce("cluster_size", F.lit(1)).cast("long").alias("cluster_size"), "n_links", first.alias("kept")
+        "doc_id",
+        F.coalesce("cluster_id", "doc_id").alias("cluster_id"),
+        F.coalesce("cluster_size", F.lit(1)).cast("long").alias("cluster_size"),
+        (F.col("cluster_size").isNull() | F.col("grp").isNull() | lead).alias("kept"),
     )
