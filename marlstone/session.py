@@ -23,7 +23,7 @@ def session(app: str = "marlstone", cores: int | str = "*", **conf: str) -> Spar
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-    } | {k.replace("_", "."): v for k, v in conf.items()}
+    } | {k.replace("_", "."): str(v) for k, v in conf.items()}
     spark = builder.config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
