@@ -58,8 +58,11 @@ def features(texts: list[str]):
     return [x[0] for x in out], [x[1] for x in out]
 
 
-def train(texts: list[str], labels: np.ndarray, dim: int = 16, epochs: int = 4, rate: float = 0.5, seed: int = 5):
-    """(logit of each bucket, offset): vectors and softmax layer by SGD, folded into one number a bucket."""
+def train(texts: list[str], labels: np.ndarray, dim: int = 16, steps: int = 20_000, rate: float = 0.5, seed: int = 5):
+    """(logit of each bucket, offset): vectors and softmax layer by SGD, folded into one number a bucket.
+
+    About ``steps`` single-document steps are made however few documents there are, so that small sets are learned too.
+    """
     rng = np.random.default_rng(seed)
     e = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim))
     w, b = np.zeros((dim, 2)), np.zeros(2)
@@ -69,6 +72,7 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 16, epochs: int = 4,
         key, count = np.unique(owner.astype(np.int64) * BUCKETS + bucket, return_counts=True)
         cut = np.searchsorted(key, np.arange(len(texts[i : i + 64]) + 1) * BUCKETS)
         bags += [((key[x:y] % BUCKETS).astype(np.int64), count[x:y] / max(1, count[x:y].sum())) for x, y in zip(cut, cut[1:])]
+    epochs = max(1, -(-steps // len(bags)))
     steps, t = epochs * len(bags), 0
     for _ in range(epochs):
         for i in rng.permutation(len(bags)).tolist():
