@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
+from ..session import materialise
 from . import stats
 from .book import book, costed, costed_backtest, long_short_sensor, sized_long_short
 from .features import ffd_weights
@@ -50,7 +51,7 @@ def pointwise_ranker(features: tuple[str, ...], target: str = "relevance", trees
 
 def cross_validated(data: DataFrame, scorer: Scorer, splits: int | None = None, **how) -> DataFrame:
     """Scored test rows of every split (split_id, score, ...). Splits are fitted one after another; each is one job."""
-    tagged = roles(data, **how).persist()
+    tagged = materialise(roles(data, **how), "roles")
     ids = sorted(r[0] for r in tagged.select("split_id").distinct().collect())[:splits]
     out = None
     for i in ids:
@@ -65,7 +66,7 @@ def cross_validated(data: DataFrame, scorer: Scorer, splits: int | None = None,
 
 def evaluate(data: DataFrame, scorer: Scorer, adv: DataFrame, splits: int | None = None, **how) -> DataFrame:
     """(split_id, auc, sharpe of the sensor, gross and net Sharpe of the costed book) for every split."""
-    scored = cross_validated(data, scorer, splits, **how).persist()
+    scored = materialise(cross_validated(data, scorer, splits, **how), "scored")
     rows = stats.auc(scored, "score", "label", "split_id")
     parts = None
     for i in sorted(r[0] for r in scored.select("split_id").distinct().collect()):
@@ -90,7 +91,7 @@ def ablation(data: DataFrame, sets: dict[str, tuple[str, ...]], adv: DataFrame,
 
 def meta_labelled(data: DataFrame, features: tuple[str, ...], splits: int | None = None, least: int = 200) -> DataFrame:
     """(split_id, flat and meta Sharpe): a second model sizes the first one's side by how sure it is to be right."""
-    tagged = roles(data).persist()
+    tagged = materialise(roles(data), "roles")
     primary, second, out = gbt_scorer(features), gbt_scorer(features, "correct"), None
     for i in sorted(r[0] for r in tagged.select("split_id").distinct().collect())[:splits]:
         mine = tagged.where(F.col("split_id") == i)
@@ -100,11 +101,11 @@ def meta_labelled(data: DataFrame, features: tuple[str, ...], splits: int | None
         if first.select("label").distinct().count() < 2 or later.count() < least:
             continue
         right = ((F.col("score") >= 0.5).cast("int") == F.col("label")).cast("int")
-        taught = primary(first, later).withColumn("correct", right).drop("score").persist()
+        taught = materialise(primary(first, later).withColumn("correct", right).drop("score"), "taught")
         if taught.select("correct").distinct().count() < 2:
             continue
         side = primary(first, test).withColumnRenamed("score", "p")
-        sized = second(taught, side.withColumn("correct", F.lit(0)))
+        sized = materialise(second(taught, side.withColumn("correct", F.lit(0))), "sized")
         signed = F.when(F.col("p") >= 0.5, 1.0).otherwise(-1.0)
         sized = sized.withColumns({"flat": signed, "meta": signed * F.col("score")})
         flat = sized_long_short(sized, "flat").agg(stats.sharpe("ls").alias("sharpe_flat"))
@@ -116,14 +117,14 @@ def meta_labelled(data: DataFrame, features: tuple[str, ...], splits: int | None
 
 def ranked(quarterly: DataFrame, features: tuple[str, ...], adv: DataFrame, splits: int | None = None, embargo: int = 1, least: int = 12) -> DataFrame:
     """(split_id, ic, net Sharpe) of a ranker on rebalance dates; the embargo counts rebalances."""
-    tagged = roles(quarterly, embargo=embargo).persist()
+    tagged = materialise(roles(quarterly, embargo=embargo), "roles")
     scorer, out = pointwise_ranker(features), None
     for i in sorted(r[0] for r in tagged.select("split_id").distinct().collect())[:splits]:
         train = tagged.where((F.col("split_id") == i) & (F.col("role") == "train"))
         test = tagged.where((F.col("split_id") == i) & (F.col("role") == "test"))
         if not train.limit(1).count():
             continue
-        scored = scorer(stats.relevance(train, "fwd_ret"), test)
+        scored = materialise(scorer(stats.relevance(train, "fwd_ret"), test), "scored")
         ic = stats.rank_ic(scored, "score", "fwd_ret", least).agg(F.avg("ic").alias("ic"))
         net = costed(book(scored, 1 / 3, 2 / 3, least), adv, 2e6, 5.0).agg(stats.sharpe("net").alias("sharpe_net"), F.avg("turnover").alias("turnover"))
         one = ic.withColumn("split_id", F.lit(i)).join(net.withColumn("split_id", F.lit(i)), "split_id")

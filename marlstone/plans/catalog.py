@@ -11,6 +11,7 @@ from ..operators import book as books
 from ..operators import features as fx
 from ..operators import labels as lb
 from ..operators import models, panel, stats, trials, validation
+from ..session import materialise
 from ..sources import readers
 from . import derived as d
 
@@ -375,13 +376,13 @@ def event_props(spark, sf_dir):
 def _model_data(spark, sf_dir, columns):
     m = lb.triple_barrier(d.bars(spark, sf_dir))
     rows = panel.complete_cases(fx.with_ranks(fx.price_features(m), fx.PRICE), [*columns, "label", "t1"])
-    return rows.select("ticker", "date", "t1", "label", "fwd_ret", *columns).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "ticker").persist()
+    return materialise(rows.select("ticker", "date", "t1", "label", "fwd_ret", *columns), "model-data")
 
 
 @query
 def gbt_cpcv(spark, sf_dir):
     cols = ("mom_21_rank", "vol_21_rank", "rsi_14_rank")
-    return models.evaluate(_model_data(spark, sf_dir, cols), models.gbt_scorer(cols, trees=3, depth=2), books.median_adv(d.bars(spark, sf_dir)), splits=1)
+    return models.evaluate(_model_data(spark, sf_dir, cols), models.gbt_scorer(cols, trees=3, depth=2), materialise(books.median_adv(d.bars(spark, sf_dir)), "adv"), splits=1)
 
 
 @query
@@ -394,7 +395,7 @@ def meta_sizing(spark, sf_dir):
 def ablation(spark, sf_dir):
     sets = {"momentum": ("mom_21_rank",), "risk": ("vol_21_rank",)}
     data = _model_data(spark, sf_dir, ("mom_21_rank", "vol_21_rank"))
-    return models.ablation(data, sets, books.median_adv(d.bars(spark, sf_dir)), splits=1)
+    return models.ablation(data, sets, materialise(books.median_adv(d.bars(spark, sf_dir)), "adv"), splits=1)
 
 
 @query
@@ -404,8 +405,8 @@ def ranker(spark, sf_dir):
     f = lb.forward_return(fx.with_ranks(fx.price_features(f, ("mom_21", "vol_21")), ("mom_21", "vol_21")), 63, "fwd_ret")
     q = panel.complete_cases(books.on_stride(f, 63), [*cols, "fwd_ret"])
     q = q.withColumn("t1", F.lead("date").over(Window.partitionBy("ticker").orderBy("date"))).withColumn("t1", F.coalesce("t1", "date"))
-    q = q.select("ticker", "date", "t1", "fwd_ret", *cols).persist()
-    return models.ranked(q, cols, books.median_adv(d.bars(spark, sf_dir)), splits=2)
+    q = materialise(q.select("ticker", "date", "t1", "fwd_ret", *cols), "ranker-data")
+    return models.ranked(q, cols, materialise(books.median_adv(d.bars(spark, sf_dir)), "adv"), splits=2)
 
 
 @query

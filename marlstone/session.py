@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -42,3 +43,19 @@ def ship(spark: SparkSession) -> None:
                 z.write(f, f.relative_to(ROOT.parent))
         context.addPyFile(str(target))
     context._marlstone_shipped = True
+
+
+def materialise(df, name: str = "table"):
+    """``df`` written once to the folder that executors share (spark.checkpoint.dir) and read back.
+
+    Iterative fits plan the same input dozens of times; a written table keeps those plans small and survives the loss of
+    executors. Where the setting is missing, as in local tests, a temporary folder is set.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = f"file://{tempfile.gettempdir()}/marlstone-scratch"
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
