@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-import re
+import os
 from array import array
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_DOUBLE_GAP = re.compile(r"\s\s")
-#: Characters that Python and the tokenizer's pattern do not both count as white space.
-_ODD_SPACE = re.compile("[\x1c-\x1f᠎]")
+#: Texts with two white-space characters side by side, or with the marker below, are encoded whole (byte-level words).
+_DOUBLE_GAP = r"[\s\x0b\pZ\x{85}\x{1c}-\x{1f}]{2}|\x00"
+#: Characters that the splitter and the tokenizer's pattern may not both count as white space, or the marker.
+_ODD_SPACE = r"[\x{1c}-\x{1f}\x{180e}\x00]"
+#: Marks a word without a space before it; twice, the end of a text.
+_MARK = "\0"
+
+
+def _large(text: str) -> pa.Scalar:
+    return pa.scalar(text, pa.large_string())
 
 
 class WordCachedEncoder:
@@ -19,16 +29,18 @@ class WordCachedEncoder:
     Both vocabularies cut a text into words by a pattern before merging, and no word reaches over a white space that
     stands between two other characters, except that byte-level words carry the space before them. So a text's ids are
     the joined ids of its words, and most words come from the cache. Texts whose white space is not of that simple kind
-    go to the library whole. The cache is emptied when it holds ``capacity`` words: it never grows with the data.
+    go to the library whole. The cache holds two generations of ``capacity`` words: it never grows with the data.
     """
 
-    def __init__(self, path: str, spaces_kept: bool, capacity: int = 600_000):
+    def __init__(self, path: str, spaces_kept: bool, end_id: int, capacity: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.spaces_kept, self.capacity = spaces_kept, capacity
+        self.end = np.array([end_id], dtype="<u4")
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
@@ -40,73 +52,93 @@ class WordCachedEncoder:
         for i, e in enumerate(self.tok.encode_batch(texts, add_special_tokens=False)):
             group = words[i * together : (i + 1) * together]
             ends = np.cumsum(np.fromiter(map(len, group), dtype=np.int64, count=len(group)) + 1)
-            first = np.fromiter((o[0] for o in e.offsets), dtype=np.int64, count=len(e))
+            first = np.fromiter(map(itemgetter(0), e.offsets), dtype=np.int64, count=len(e))
             cut = (4 * np.searchsorted(first, ends)).tolist()
             blob = array("I", e.ids).tobytes()
             out += [blob[x:y] for x, y in zip([0, *cut], cut)]
         return out
 
     def _learn(self, new: list[str]) -> None:
-        plain = [w for w in new if w.isascii() and w.isprintable() and w]
-        odd = [w for w in new if not (w.isascii() and w.isprintable() and w)]
+        plain = [w for w in new if w and w.isprintable()]
+        odd = [w for w in new if not (w and w.isprintable())]
         self.words.update(zip(plain, self._word_ids(plain)))
-        self.words.update(zip(odd, self._ids([w if not self.spaces_kept or w[:1] == "\n" else " " + w for w in odd])))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.words) > self.capacity:
-            self.words.clear()
-        look, out, missing = self.words.get, [], set()
-        for t in texts:
-            if self.spaces_kept:
-                parts = None if _DOUBLE_GAP.search(t) else t.replace("\n", " \n").split(" ")
-            else:
-                parts = None if _ODD_SPACE.search(t) else t.split()
-            if parts is None:
-                out.append((self._ids([t])[0], None, None))
-                continue
-            head = self._ids([parts[0]])[0] if self.spaces_kept and parts[0] else b""
-            if self.spaces_kept:
-                parts = parts[1:]
-            found = list(map(look, parts))
-            if None in found:
-                missing.update([w for w, b in zip(parts, found) if b is None])
-                out.append((head, parts, None))
-            else:
-                out.append((head, None, found))
-        if missing:
-            self._learn(list(missing))
-        get = self.words.__getitem__
-        return [
-            head if parts is None and found is None else head + b"".join(found if found is not None else map(get, parts))
-            for head, parts, found in out
-        ]
+        bare = lambda w: not self.spaces_kept or w[:1] in ("\n", _MARK)
+        self.words.update(zip(odd, self._ids([w.strip(_MARK) if bare(w) else " " + w for w in odd])))
+        self.words[_MARK * 2] = self.end.tobytes()
+
+    def _lookup(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words. Two generations: what is met again outlives the older one's end."""
+        found = list(map(self.words.get, words))
+        holes = [i for i, b in enumerate(found) if b is None]
+        if holes:
+            if len(self.words) > self.capacity:
+                self.words, self.older = {}, self.words
+            old = self.older.get
+            new = []
+            for i in holes:
+                w = words[i]
+                b = old(w)
+                if b is None:
+                    new.append(w)
+                else:
+                    self.words[w] = b
+            if new:
+                self._learn(new)
+            get = self.words.__getitem__
+            for i in holes:
+                found[i] = get(words[i])
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each followed by the end id; end of each text). Words are split and made distinct by
+        Arrow, so Python handles each distinct word of the batch once."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        odd = pc.match_substring_regex(texts, _DOUBLE_GAP if self.spaces_kept else _ODD_SPACE)
+        some_odd = pc.any(odd).as_py()
+        body = pc.if_else(odd, _large(""), texts) if some_odd else texts
+        if self.spaces_kept:
+            body = pc.binary_join_element_wise(_large(_MARK), pc.replace_substring(body, "\n", " \n"), _large(""))
+            cut = pc.split_pattern(pc.binary_join_element_wise(body, _large(_MARK * 2), _large(" ")), " ")
+        else:
+            cut = pc.utf8_split_whitespace(pc.binary_join_element_wise(body, _large(_MARK * 2), _large(" ")))
+        words = cut.flatten().dictionary_encode()
+        code = words.indices.to_numpy()
+        blobs = self._lookup(words.dictionary.to_pylist())
+        size = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 4
+        flat, start = np.frombuffer(b"".join(blobs), dtype="<u4"), np.cumsum(size) - size
+        n = size[code]
+        stop = np.cumsum(n)
+        total = int(stop[-1]) if len(stop) else 0
+        ids = flat[np.repeat(start[code] - (stop - n), n) + np.arange(total)]
+        ends = np.concatenate(([0], stop))[cut.offsets.to_numpy()[1:] - cut.offsets[0].as_py()]
+        if some_odd:
+            parts = np.split(ids, ends[:-1])
+            which = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+            for i, b in zip(which.tolist(), self._ids([texts[i].as_py() for i in which.tolist()])):
+                parts[i] = np.concatenate((np.frombuffer(b, dtype="<u4"), self.end))
+            ids, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+        return ids, ends
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, spaces_kept: bool) -> WordCachedEncoder:
+def encoder(path: str, spaces_kept: bool, end_id: int) -> WordCachedEncoder:
     """One encoder per Python worker."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordCachedEncoder(path, spaces_kept)
+    return WordCachedEncoder(path, spaces_kept, end_id)
 
 
-def encoded_batches(batches, column: str, path: str, spaces_kept: bool, end_id: int, bytes_at_once: int = 2 << 20):
+def encoded_batches(batches, column: str, path: str, spaces_kept: bool, end_id: int, bytes_at_once: int = 4 << 20):
     """(slice of the Arrow batch, ids of all its texts in one uint32 array, end of each text in it) for small slices.
 
     Each text is followed by ``end_id``; null counts as empty.
     """
-    enc, end = encoder(path, spaces_kept), np.uint32(end_id).tobytes()
+    enc = encoder(path, spaces_kept, end_id)
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
+        texts = batch.column(batch.schema.get_field_index(column))
+        held = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
         at = 0
         while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and size < bytes_at_once:
-                size += len(texts[to] or "")
-                to += 1
-            blobs = [b + end for b in enc.encode([t or "" for t in texts[at:to]])]
-            ends = np.cumsum([len(b) // 4 for b in blobs])
-            yield batch.slice(at, to - at), np.frombuffer(b"".join(blobs), dtype="<u4"), ends
+            to = max(at + 1, int(np.searchsorted(held, (held[at - 1] if at else 0) + bytes_at_once, "right")))
+            ids, ends = enc.encode(texts.slice(at, to - at))
+            yield batch.slice(at, to - at), ids, ends
             at = to

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scan_width, scratch_path
+from .common import release, scan_width, scratch_path
 from .encoding import encoded_batches
 
 MAGIC, VERSION = b"MRPG", 1
@@ -180,7 +180,7 @@ def write_shards(
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    ranged = rows.repartitionByRange(scan_width(spark, docs, "text"), "doc_id", "tie")
+    ranged = rows.repartitionByRange(scan_width(docs), "doc_id", "tie")
     ordered = ranged.sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def shards(batches):
@@ -205,6 +205,7 @@ def write_shards(
                 seg, held, ids, ends, n = seg + 1, [], [], [], 0
         if held:
             yield flush()
+        release()
 
     ordered.mapInArrow(shards, SHARD_SCHEMA).write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(SHARD_SCHEMA).parquet(path)

@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,13 +65,16 @@ def crc(ids):
 
 @pytest.mark.parametrize("path,spaces", [(BYTES, True), (WORDS, False)])
 def test_word_cache_encodes_like_the_library(path, spaces, spark):
-    enc = WordCachedEncoder(path, spaces, capacity=4)
-    texts = [r.text or "" for r in odd_documents(spark).select("text").collect()]
-    texts += [" lead", "trail ", "a\n", "\n b", "x \n y", "a  b", "it's we'll", "\x1c x", "12345 6", "tab\tx", "é é", "a b", "ΣΑΣ Σ"]
-    for t in texts:
-        assert np.frombuffer(enc.encode([t])[0], dtype="<u4").tolist() == plain_ids(path, t), t[:40]
-    got = enc.encode(texts)
-    assert [len(g) // 4 for g in got] == [len(plain_ids(path, t)) for t in texts]
+    enc = WordCachedEncoder(path, spaces, 7, capacity=4)
+    texts = [r.text for r in odd_documents(spark).select("text").collect()]
+    texts += [" lead", "trail ", "a\n", "\n b", "x \n y", "a  b", "it's we'll", "\x1c x", "12345 6", "tab\tx", "é é", "a b", "ΣΑΣ Σ", "nul \0x \0\0 y", "\u180ea b", "n\u00a0b  c", "a\x85b c"]
+    want = [plain_ids(path, t) + [7] for t in texts]
+    for t, w in zip(texts, want):
+        ids, ends = enc.encode(pa.array([t], pa.string()))
+        assert ids.tolist() == w and ends.tolist() == [len(w)], repr(t)[:40]
+    ids, ends = enc.encode(pa.array(texts, pa.string()).slice(2))
+    assert ids.tolist() == sum(want[2:], []) and ends.tolist() == np.cumsum([len(w) for w in want[2:]]).tolist()
+    assert len(enc.encode(pa.array([], pa.string()))[0]) == 0
 
 
 def test_grammar_round_trip_and_random_access():
