@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scan_width
+from .common import release, scan_width
 from .encoding import encoded_batches
 
 PIECE_SCHEMA = (
@@ -47,22 +47,34 @@ def candidates(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, grid: in
     return at, cost[at]
 
 
+def _exact_steps(at: np.ndarray, limit: int):
+    """For each candidate the earlier candidates that lie a power of two before it: (flat indices, where each begins)."""
+    place = np.full(int(at[-1]) + 1, -1, dtype=np.int64)
+    place[at] = np.arange(len(at))
+    to, back = [], []
+    for w in (1 << k for k in range(limit.bit_length())):
+        j = np.flatnonzero(at >= w)
+        k = place[at[j] - w]
+        to.append(j[k >= 0])
+        back.append(k[k >= 0])
+    to, back = np.concatenate(to), np.concatenate(back)
+    order = np.argsort(to, kind="stable")
+    return back[order].tolist(), np.searchsorted(to[order], np.arange(len(at) + 1)).tolist()
+
+
 def best_cuts(at: np.ndarray, cost: np.ndarray, limit: int) -> list[int]:
     """Positions of the cheapest cutting, without 0 and with the last candidate."""
-    powers = [1 << k for k in range(limit.bit_length()) if 1 << k <= limit]
-    index = {p: i for i, p in enumerate(at.tolist())}
+    steps, begin = _exact_steps(at, limit)
     places, costs = at.tolist(), cost.tolist()
-    best, back, queue, value = [0.0] * len(places), [0] * len(places), deque(), [0.0] * len(places)
-    queue.append(0)
+    best, back, queue, value = [0.0] * len(places), [0] * len(places), deque([0]), [0.0] * len(places)
     for j in range(1, len(places)):
         p = places[j]
         while places[queue[0]] < p - limit:
             queue.popleft()
         i = queue[0]
         low = value[i] + limit - p
-        for w in powers:
-            k = index.get(p - w)
-            if k is not None and best[k] < low:
+        for k in steps[begin[j] : begin[j + 1]]:
+            if best[k] < low:
                 low, i = best[k], k
         best[j], back[j] = low + costs[j], i
         value[j] = v = best[j] + p
@@ -95,7 +107,7 @@ def pack(
     limit: int = 2048,
     sentence_cost: float = 8.0,
     other_cost: float = 48.0,
-    grid: int = 64,
+    grid: int = 128,
     block_tokens: int = 1 << 19,
 ) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all documents of ``docs``.
@@ -104,7 +116,7 @@ def pack(
     last window on to the next block, so only the last window of a task is padded more than the costs ask for.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    ranged = rows.repartitionByRange(scan_width(docs.sparkSession, docs, "text"), "doc_id", "tie")
+    ranged = rows.repartitionByRange(scan_width(docs), "doc_id", "tie")
     ordered = ranged.sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     names = [x.split()[0] for x in PIECE_SCHEMA.split(", ")]
 
@@ -164,5 +176,6 @@ def pack(
                 yield solve(False)
         if n:
             yield solve(True)
+        release()
 
     return ordered.mapInArrow(windows, PIECE_SCHEMA)
