@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,10 +59,15 @@ def sized(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
     return F.broadcast(df) if n <= limit else df
 
 
-def scan_width(spark: SparkSession, df: DataFrame, column: str, target: int = 8 << 20) -> int:
-    """Shuffle partitions so that each holds about ``target`` characters of ``column``."""
-    total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // target), 1)
+def scan_width(df: DataFrame, target: int = 4 << 20, most: int = 50_000) -> int:
+    """Shuffle partitions so that each holds about ``target`` bytes of input, by the sizes of the scanned files as the
+    optimizer knows them: nothing is read. ``most`` bounds what the driver has to track; larger inputs get larger
+    partitions."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 60)  # rows handed over by Python have no known size
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(-(-size // target), most), 1)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -82,7 +92,7 @@ class ByteHasher:
     P = 0x9E3779B97F4A7C15
     P_INV = pow(P, -1, 1 << 64)
 
-    def __init__(self, n: int = 1 << 16):
+    def __init__(self, n: int = 1 << 20):
         self._grow(n)
 
     def _grow(self, n: int) -> None:
@@ -95,13 +105,37 @@ class ByteHasher:
 
     def __call__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         if len(data) >= len(self.up):
-            self._grow(2 * len(data))
+            self._grow(1 << int(len(data)).bit_length())
         sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=sums[1:])
         h = (sums[end] - sums[start]) * self.down[start]
         return mix64(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+@lru_cache(maxsize=1)
+def byte_hasher() -> ByteHasher:
+    """One hasher, and so one table of powers, for each Python worker."""
+    return ByteHasher()
+
+
+def text_slices(texts: pa.Array, size: int = 1 << 20, most: int = 1 << 14):
+    """(first row, list of texts, null as empty) for runs of rows of about ``size`` bytes: what Python holds at once."""
+    held = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = held[at - 1] if at else 0
+        to = min(at + most, max(at + 1, int(np.searchsorted(held, before + size, "right"))))
+        yield at, [t or "" for t in texts.slice(at, to - at).to_pylist()]
+        at = to
+
+
+def release() -> None:
+    """Give what a finished task no longer needs back to the system; workers live on with the next task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: 1 for the ASCII white space that parts words: x20 and x09 to x0D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

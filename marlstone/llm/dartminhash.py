@@ -27,20 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK64, ByteHasher, drop_written, joined, mix64, sized, uniform, word_bounds, written
+from .common import MASK64, byte_hasher, drop_written, joined, mix64, release, sized, text_slices, uniform, word_bounds, written
 from .components import components
 
 U = np.uint64
-_HASH: list[ByteHasher] = []
 
 
 def shingles(texts: list[str], width: int = 5):
     """(text number, shingle hash of 48 bits, weight) of all texts, sorted by text and hash."""
-    if not _HASH:
-        _HASH.append(ByteHasher())
     data, at = joined(texts)
     start, end = word_bounds(data)
-    words = _HASH[0](data, start, end)
+    words = byte_hasher()(data, start, end)
     doc = np.searchsorted(at, start, "right") - 1
     n = len(words)
     held = np.bincount(doc, minlength=len(texts)) if n else np.zeros(len(texts), dtype=np.int64)
@@ -120,19 +117,6 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20):
-    """(first row, texts) for runs of rows of about ``size`` characters and fewer than 2**15 rows."""
-    texts = [t or "" for t in batch.column(column).to_pylist()]
-    at = 0
-    while at < len(texts):
-        to, held = at, 0
-        while to < len(texts) and held < size and to - at < 1 << 15:
-            held += len(texts[to])
-            to += 1
-        yield at, texts[at:to]
-        at = to
-
-
 def text_class(column: str = "text"):
     """A 64-bit class of equal texts."""
     return F.xxhash64(F.sha2(F.coalesce(F.col(column), F.lit("")), 256))
@@ -143,7 +127,7 @@ def band_table(docs: DataFrame, bands: int, rows: int, width: int = 5) -> DataFr
 
     def sketch(batches):
         for batch in batches:
-            for at, texts in slices(batch, 2):
+            for at, texts in text_slices(batch.column(2)):
                 doc, element, weight = shingles(texts, width)
                 sig = signatures(doc, element, weight, len(texts), bands * rows)
                 some = np.zeros(len(texts), dtype=bool)
@@ -153,6 +137,7 @@ def band_table(docs: DataFrame, bands: int, rows: int, width: int = 5) -> DataFr
                 lists = pa.ListArray.from_arrays(offsets, pa.array(h.reshape(-1)), mask=pa.array(~some))
                 part = batch.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["doc_id", "cls", "bands"])
+        release()
 
     src = docs.select("doc_id", text_class().alias("cls"), "text")
     return src.mapInArrow(sketch, "doc_id long, cls long, bands array<long>")
@@ -163,12 +148,13 @@ def shingle_table(docs: DataFrame, wanted: DataFrame, width: int = 5) -> DataFra
 
     def build(batches):
         for batch in batches:
-            for at, texts in slices(batch, 1):
+            for at, texts in text_slices(batch.column(1)):
                 doc, element, weight = shingles(texts, width)
                 packed = ((element << U(16)) | np.minimum(weight, 65535).astype(U)).view(np.int64)
                 ends = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(packed))
                 yield pa.RecordBatch.from_arrays([batch.slice(at, len(texts)).column(0), lists], names=["cls", "held"])
+        release()
 
     chosen = docs.withColumn("cls", text_class()).select("cls", "text", "doc_id")
     pick = wanted.select(F.col("cls"), F.col("lead"))

@@ -64,7 +64,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3,
     n = rows.count()
     targets = written(source_targets(rows, weights, cap), "targets")
     per = sized(targets.withColumnRenamed("source", "s"))
-    width = max(16, -(-n // bucket_rows))
+    width = min(max(16, -(-n // bucket_rows)), 1 << 18)  # bounds the tables of bucket and slice sums
     rows = rows.withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(width)))
     queue = rows.where("size > 0")
     sums = queue.groupBy("source", "bucket").agg(F.sum("size").alias("words"))

@@ -20,23 +20,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ByteHasher, joined, mix64, word_bounds
+from .common import SPACE, byte_hasher, joined, mix64, release, text_slices, word_bounds
 
 WORD_BUCKETS, GRAM_BUCKETS, GRAMS = 1 << 16, 1 << 17, (3, 4)
 #: One more bucket for a word that repeats the word before it.
 AGAIN = WORD_BUCKETS + GRAM_BUCKETS
 BUCKETS = AGAIN + 1
 U = np.uint64
-_HASH: list[ByteHasher] = []
 
 
 def features(texts: list[str]):
     """Arrays (text number, bucket), one pair for each feature, in no order across kinds."""
-    if not _HASH:
-        _HASH.append(ByteHasher())
     data, at = joined(texts)
     start, end = word_bounds(data)
-    words = _HASH[0](data, start, end)
+    words = byte_hasher()(data, start, end)
     owner = (np.searchsorted(at, start, "right") - 1).astype(np.int32)
     again = np.flatnonzero((words[1:] == words[:-1]) & (owner[1:] == owner[:-1])) + 1
     out = [(owner, (words % U(WORD_BUCKETS)).astype(np.int32)), (owner[again], np.full(len(again), AGAIN, dtype=np.int32))]
@@ -64,14 +61,15 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 16, steps: int = 20_0
     About ``steps`` single-document steps are made however few documents there are, so that small sets are learned too.
     """
     rng = np.random.default_rng(seed)
-    e = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim))
+    e = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
     w, b = np.zeros((dim, 2)), np.zeros(2)
     bags = []
     for i in range(0, len(texts), 64):
         owner, bucket = (np.concatenate(x) for x in features(texts[i : i + 64]))
         key, count = np.unique(owner.astype(np.int64) * BUCKETS + bucket, return_counts=True)
         cut = np.searchsorted(key, np.arange(len(texts[i : i + 64]) + 1) * BUCKETS)
-        bags += [((key[x:y] % BUCKETS).astype(np.int64), count[x:y] / max(1, count[x:y].sum())) for x, y in zip(cut, cut[1:])]
+        share = count.astype(np.float32)
+        bags += [((key[x:y] % BUCKETS).astype(np.int32), share[x:y] / max(1.0, float(share[x:y].sum()))) for x, y in zip(cut, cut[1:])]
     epochs = max(1, -(-steps // len(bags)))
     steps, t = epochs * len(bags), 0
     for _ in range(epochs):
@@ -107,7 +105,7 @@ def held_out(folds: int = 5):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", fit_rows: int = 2500, folds: int = 5):
+def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", fit_rows: int = 1500, folds: int = 5):
     """(logit of each bucket, offset) learned from at most ``fit_rows`` teaching rows of each class.
 
     Rows are those with the smallest hashes of their doc_id, so reruns agree. Only they leave the executors.
@@ -123,7 +121,9 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", fit_rows: i
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 1.0
         return np.zeros(BUCKETS, dtype=np.float32), float(np.log(max(share, 1e-12)) - np.log(max(1 - share, 1e-12)))
-    return train(texts, y)
+    model = train(texts, y)
+    release()  # the driver keeps the model only
+    return model
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, keep_text: bool = False, threshold: float = 0.3, folds: int = 5, **how) -> DataFrame:
@@ -135,15 +135,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep_text: bool = False,
         import pandas as pd
 
         for texts in series:
-            held, out, at = [t or "" for t in texts], [], 0
-            while at < len(held):
-                to, size = at, 0
-                while to < len(held) and size < 1 << 20:
-                    size += len(held[to])
-                    to += 1
-                out.append(score_texts(held[at:to], *model.value))
-                at = to
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+            parts = [score_texts(t, *model.value) for _, t in text_slices(pa.array(texts, pa.string(), from_pandas=True))]
+            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+        release()
 
     from typing import Iterator
 
