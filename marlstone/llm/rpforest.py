@@ -216,7 +216,9 @@ def link_counts(members: DataFrame, dim: int, least: float, block: int = 1024) -
                 n.append(copies[rows] @ close)
         return pa.table({"id": pa.array(np.concatenate(got or [ids[:0]]), pa.int64()), "others": pa.array(np.concatenate(n or [ids[:0]]).astype(np.int64), pa.int64())})
 
-    compared = core_side.unionByName(rest_core).unionByName(rest_rest).groupBy("component", "i", "j").applyInArrow(count, "id long, others long")
+    sides = core_side.unionByName(rest_core).unionByName(rest_rest)
+    # dealt by block: the join before leaves whole components together
+    compared = sides.repartition("component", "i", "j").groupBy("component", "i", "j").applyInArrow(count, "id long, others long")
     return by_core.unionByName(compared).groupBy("id").agg(F.sum("others").alias("others"))
 
 
