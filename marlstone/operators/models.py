@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,40 +51,57 @@ def pointwise_ranker(features: tuple[str, ...], target: str = "relevance", trees
     return score
 
 
-def cross_validated(data: DataFrame, scorer: Scorer, splits: int | None = None, **how) -> DataFrame:
-    """Scored test rows of every split (split_id, score, ...). Splits are fitted one after another; each is one job."""
-    tagged = materialise(roles(data, **how), "roles")
+def _each_split(tagged: DataFrame, one: Callable[[int, DataFrame, DataFrame], DataFrame | None], splits: int | None = None, at_once: int = 4) -> DataFrame | None:
+    """Union of ``one`` (split_id, train, test) over the splits, each result written; ``at_once`` run side by side."""
     ids = sorted(r[0] for r in tagged.select("split_id").distinct().collect())[:splits]
+
+    def run(i):
+        mine = tagged.where(F.col("split_id") == i)
+        got = one(i, mine.where("role = 'train'"), mine.where("role = 'test'"))
+        return None if got is None else materialise(got, "split")
+
+    with ThreadPoolExecutor(at_once) as pool:
+        found = list(pool.map(inheritable_thread_target(tagged.sparkSession)(run), ids))
     out = None
-    for i in ids:
-        train = tagged.where((F.col("split_id") == i) & (F.col("role") == "train"))
-        test = tagged.where((F.col("split_id") == i) & (F.col("role") == "test"))
-        if train.select("label").distinct().count() < 2:
-            continue
-        scored = scorer(train, test)
-        out = scored if out is None else out.unionByName(scored)
+    for got in found:
+        if got is not None:
+            out = got if out is None else out.unionByName(got)
     return out
 
 
+def _two_labels(df: DataFrame) -> bool:
+    return df.select("label").distinct().count() >= 2
+
+
+def cross_validated(data: DataFrame, scorer: Scorer, splits: int | None = None, **how) -> DataFrame:
+    """Scored test rows of every split (split_id, score, ...)."""
+
+    def one(i, train, test):
+        return scorer(train, test) if _two_labels(train) else None
+
+    return _each_split(materialise(roles(data, **how), "roles"), one, splits)
+
+
 def evaluate(data: DataFrame, scorer: Scorer, adv: DataFrame, splits: int | None = None, **how) -> DataFrame:
     """(split_id, auc, sharpe of the sensor, gross and net Sharpe of the costed book) for every split."""
-    scored = materialise(cross_validated(data, scorer, splits, **how), "scored")
-    rows = stats.auc(scored, "score", "label", "split_id")
-    parts = None
-    for i in sorted(r[0] for r in scored.select("split_id").distinct().collect()):
-        one = scored.where(F.col("split_id") == i)
-        sensor = long_short_sensor(one).agg(stats.sharpe("ls").alias("sharpe"))
-        net = costed_backtest(one, adv).agg(stats.sharpe("gross").alias("sharpe_gross"), stats.sharpe("net").alias("sharpe_net"), F.count("net").alias("rebalances"))
+
+    def one(i, train, test):
+        if not _two_labels(train):
+            return None
+        scored = materialise(scorer(train, test), "scored")
+        sensor = long_short_sensor(scored).agg(stats.sharpe("ls").alias("sharpe"))
+        net = costed_backtest(scored, adv).agg(stats.sharpe("gross").alias("sharpe_gross"), stats.sharpe("net").alias("sharpe_net"), F.count("net").alias("rebalances"))
         both = sensor.withColumn("split_id", F.lit(i)).join(net.withColumn("split_id", F.lit(i)), "split_id")
-        parts = both if parts is None else parts.unionByName(both)
-    return rows.join(parts, "split_id")
+        return stats.auc(scored, "score", "label", "split_id").join(both, "split_id")
+
+    return _each_split(materialise(roles(data, **how), "roles"), one, splits)
 
 
-def ablation(data: DataFrame, sets: dict[str, tuple[str, ...]], adv: DataFrame, splits: int | None = None) -> DataFrame:
+def ablation(data: DataFrame, sets: dict[str, tuple[str, ...]], adv: DataFrame, splits: int | None = None, weight: str | None = None) -> DataFrame:
     """Mean results for each named feature set."""
     out = None
     for name, columns in sets.items():
-        rows = evaluate(complete_cases(data, [*columns, "label", "t1"]), gbt_scorer(columns), adv, splits)
+        rows = evaluate(complete_cases(data, [*columns, "label", "t1"]), gbt_scorer(columns, weight=weight), adv, splits)
         one = rows.agg(F.avg("auc").alias("auc"), F.avg("sharpe").alias("sharpe"), F.avg("sharpe_net").alias("sharpe_net"), F.count(F.lit(1)).alias("splits"))
         one = one.withColumn("config", F.lit(name))
         out = one if out is None else out.unionByName(one)
@@ -91,45 +110,41 @@ def ablation(data: DataFrame, sets: dict[str, tuple[str, ...]], adv: DataFrame,
 
 def meta_labelled(data: DataFrame, features: tuple[str, ...], splits: int | None = None, least: int = 200) -> DataFrame:
     """(split_id, flat and meta Sharpe): a second model sizes the first one's side by how sure it is to be right."""
-    tagged = materialise(roles(data), "roles")
-    primary, second, out = gbt_scorer(features), gbt_scorer(features, "correct"), None
-    for i in sorted(r[0] for r in tagged.select("split_id").distinct().collect())[:splits]:
-        mine = tagged.where(F.col("split_id") == i)
-        test = mine.where("role = 'test'").drop("role")
-        inner = meta_split(mine.where("role = 'train'").drop("role"))
+    primary, second = gbt_scorer(features), gbt_scorer(features, "correct")
+
+    def one(i, train, test):
+        test, inner = test.drop("role"), meta_split(train.drop("role"))
         first, later = inner.where("role = 'primary'"), inner.where("role = 'meta'")
-        if first.select("label").distinct().count() < 2 or later.count() < least:
-            continue
+        if not _two_labels(first) or later.count() < least:
+            return None
         right = ((F.col("score") >= 0.5).cast("int") == F.col("label")).cast("int")
         taught = materialise(primary(first, later).withColumn("correct", right).drop("score"), "taught")
         if taught.select("correct").distinct().count() < 2:
-            continue
+            return None
         side = primary(first, test).withColumnRenamed("score", "p")
         sized = materialise(second(taught, side.withColumn("correct", F.lit(0))), "sized")
         signed = F.when(F.col("p") >= 0.5, 1.0).otherwise(-1.0)
         sized = sized.withColumns({"flat": signed, "meta": signed * F.col("score")})
         flat = sized_long_short(sized, "flat").agg(stats.sharpe("ls").alias("sharpe_flat"))
         meta = sized_long_short(sized, "meta").agg(stats.sharpe("ls").alias("sharpe_meta"))
-        one = flat.withColumn("split_id", F.lit(i)).join(meta.withColumn("split_id", F.lit(i)), "split_id")
-        out = one if out is None else out.unionByName(one)
-    return out
+        return flat.withColumn("split_id", F.lit(i)).join(meta.withColumn("split_id", F.lit(i)), "split_id")
+
+    return _each_split(materialise(roles(data), "roles"), one, splits)
 
 
 def ranked(quarterly: DataFrame, features: tuple[str, ...], adv: DataFrame, splits: int | None = None, embargo: int = 1, least: int = 12) -> DataFrame:
     """(split_id, ic, net Sharpe) of a ranker on rebalance dates; the embargo counts rebalances."""
-    tagged = materialise(roles(quarterly, embargo=embargo), "roles")
-    scorer, out = pointwise_ranker(features), None
-    for i in sorted(r[0] for r in tagged.select("split_id").distinct().collect())[:splits]:
-        train = tagged.where((F.col("split_id") == i) & (F.col("role") == "train"))
-        test = tagged.where((F.col("split_id") == i) & (F.col("role") == "test"))
+    scorer = pointwise_ranker(features)
+
+    def one(i, train, test):
         if not train.limit(1).count():
-            continue
+            return None
         scored = materialise(scorer(stats.relevance(train, "fwd_ret"), test), "scored")
         ic = stats.rank_ic(scored, "score", "fwd_ret", least).agg(F.avg("ic").alias("ic"))
         net = costed(book(scored, 1 / 3, 2 / 3, least), adv, 2e6, 5.0).agg(stats.sharpe("net").alias("sharpe_net"), F.avg("turnover").alias("turnover"))
-        one = ic.withColumn("split_id", F.lit(i)).join(net.withColumn("split_id", F.lit(i)), "split_id")
-        out = one if out is None else out.unionByName(one)
-    return out
+        return ic.withColumn("split_id", F.lit(i)).join(net.withColumn("split_id", F.lit(i)), "split_id")
+
+    return _each_split(materialise(roles(quarterly, embargo=embargo), "roles"), one, splits)
 
 
 # ---- loops within a ticker ---------------------------------------------------------------------------------------

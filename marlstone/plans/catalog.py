@@ -374,28 +374,31 @@ def event_props(spark, sf_dir):
 
 
 def _model_data(spark, sf_dir, columns):
-    m = lb.triple_barrier(d.bars(spark, sf_dir))
-    rows = panel.complete_cases(fx.with_ranks(fx.price_features(m), fx.PRICE), [*columns, "label", "t1"])
-    return materialise(rows.select("ticker", "date", "t1", "label", "fwd_ret", *columns), "model-data")
+    m = lb.sample_weights(lb.triple_barrier(d.bars(spark, sf_dir)), "uniqueness")
+    keep = ["ticker", "date", "t1", "label", "fwd_ret", "w"]
+    rows = materialise(fx.with_ranks(fx.price_features(materialise(m, "weighted")), fx.PRICE).select(*keep, *columns), "features")
+    return materialise(panel.complete_cases(rows, [*columns, "label", "t1"]), "model-data")
 
 
 @query
 def gbt_cpcv(spark, sf_dir):
-    cols = ("mom_21_rank", "vol_21_rank", "rsi_14_rank")
-    return models.evaluate(_model_data(spark, sf_dir, cols), models.gbt_scorer(cols, trees=3, depth=2), materialise(books.median_adv(d.bars(spark, sf_dir)), "adv"), splits=1)
+    cols = fx.feature_set("price")
+    return models.evaluate(_model_data(spark, sf_dir, cols), models.gbt_scorer(cols, weight="w"), materialise(books.median_adv(d.bars(spark, sf_dir)), "adv"))
 
 
 @query
 def meta_sizing(spark, sf_dir):
-    cols = ("mom_21_rank", "vol_21_rank", "rsi_14_rank")
-    return models.meta_labelled(_model_data(spark, sf_dir, cols), cols, splits=1)
+    cols = fx.feature_set("price")
+    return models.meta_labelled(_model_data(spark, sf_dir, cols), cols)
 
 
 @query
 def ablation(spark, sf_dir):
-    sets = {"momentum": ("mom_21_rank",), "risk": ("vol_21_rank",)}
-    data = _model_data(spark, sf_dir, ("mom_21_rank", "vol_21_rank"))
-    return models.ablation(data, sets, materialise(books.median_adv(d.bars(spark, sf_dir)), "adv"), splits=1)
+    sets = {name: fx.feature_set(name) for name in fx.FEATURE_SETS}
+    weighted = materialise(lb.sample_weights(lb.triple_barrier(d.bars(spark, sf_dir)), "uniqueness"), "weighted")
+    m = fx.feature_matrix(weighted, d.fundamentals(spark, sf_dir))
+    data = materialise(m.select("ticker", "date", "t1", "label", "fwd_ret", "w", *sets["all"]), "model-data")
+    return models.ablation(data, sets, materialise(books.median_adv(d.bars(spark, sf_dir)), "adv"), weight="w")
 
 
 @query
@@ -406,7 +409,7 @@ def ranker(spark, sf_dir):
     q = panel.complete_cases(books.on_stride(f, 63), [*cols, "fwd_ret"])
     q = q.withColumn("t1", F.lead("date").over(Window.partitionBy("ticker").orderBy("date"))).withColumn("t1", F.coalesce("t1", "date"))
     q = materialise(q.select("ticker", "date", "t1", "fwd_ret", *cols), "ranker-data")
-    return models.ranked(q, cols, materialise(books.median_adv(d.bars(spark, sf_dir)), "adv"), splits=2)
+    return models.ranked(q, cols, materialise(books.median_adv(d.bars(spark, sf_dir)), "adv"))
 
 
 @query
