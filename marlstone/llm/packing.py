@@ -107,7 +107,7 @@ def pack(
     limit: int = 2048,
     sentence_cost: float = 8.0,
     other_cost: float = 48.0,
-    grid: int = 128,
+    grid: int = 64,
     block_tokens: int = 1 << 19,
 ) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all documents of ``docs``.
