@@ -1,11 +1,11 @@
 """Operator 4 (DataFrame functions only): personal data and the terms that give it away.
 
 Base spans are e-mail addresses, IPv4 addresses, card numbers and phone numbers by pattern and checksum. The method adds
-spans: a term (a word near a protected value) discloses the value as strongly as knowing the term makes the value
+spans: a term (a word of a document with a protected value) discloses the value as strongly as knowing the term makes the value
 likelier, PMI(term; value) = ln(n_both * N / (n_term * n_value)), relative to the value's own information
 IC(value) = ln(N / n_value). Both are estimated by counting documents over the whole corpus. A term whose ratio
-PMI / IC reaches ``disclosure`` is generalised where it stands near the value, if at least ``least_texts`` different
-texts show both (one text, or copies of one, are no evidence of a link).
+PMI / IC reaches ``disclosure`` is generalised wherever it stands in documents with the value, if at least ``least_texts``
+different texts hold both (one text, or copies of one, are no evidence of a link).
 
 Edge cases: null text counts as empty and has no span; repeated rows get the same spans; a null ``doc_id`` is kept; an
 empty table gives no row; further columns are ignored. Offsets count code points, ends are exclusive.
@@ -13,7 +13,7 @@ empty table gives no row; further columns are ignored. Offsets count code points
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import sized, written
@@ -31,7 +31,7 @@ PATTERNS = {
 #: What a text must hold for a pattern to be tried.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 WORD = r"\p{L}{3,}"
-SPAN = "array<struct<kind:int,start:int,end:int,value:string,left:string,right:string>>"
+SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
 def _digits(v: Column) -> Column:
@@ -61,28 +61,20 @@ def _valid(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
-def located(text: Column, pattern: str, kind: int, around: int) -> Column:
-    """Matches with their places and up to ``around`` characters of text on each side that no other match covers.
+def located(text: Column, pattern: str, kind: int) -> Column:
+    """Matches with their places.
 
     The pieces between matches come from a split by the same pattern; running lengths give the offsets.
     """
     found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     zipped = F.zip_with(pieces, found, lambda p, v: F.struct(v.alias("v"), p.alias("p")))
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("last"), F.lit(None).cast("string").alias("left"), F.array().cast(SPAN).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
     def step(acc, x):
         at = acc["at"] + F.length(x["p"])
-        # the match before this piece gets the piece as its right side
-        done = F.when(
-            acc["last"].isNotNull(),
-            F.concat(acc["out"], F.array(F.struct(
-                F.lit(kind).alias("kind"), (acc["at"] - F.length(acc["last"])).alias("start"), acc["at"].alias("end"),
-                acc["last"].alias("value"), acc["left"].alias("left"), F.left(x["p"], F.lit(around)).alias("right"),
-            ))),
-        ).otherwise(acc["out"])
-        return F.struct(
-            (at + F.coalesce(F.length(x["v"]), F.lit(0))).alias("at"), x["v"].alias("last"), F.right(x["p"], F.lit(around)).alias("left"), done.alias("out")
-        )
+        end = at + F.coalesce(F.length(x["v"]), F.lit(0))
+        one = F.array(F.struct(F.lit(kind).alias("kind"), at.alias("start"), end.alias("end"), x["v"].alias("value")))
+        return F.struct(end.alias("at"), F.when(x["v"].isNotNull(), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
     return F.aggregate(zipped, start, step, lambda acc: acc["out"])
 
@@ -91,11 +83,11 @@ def _keeps(kind: str):
     return lambda s: _valid(kind, s["value"])
 
 
-def base_spans(text: Column, around: int = 48) -> Column:
+def base_spans(text: Column) -> Column:
     """All valid base spans, by kind as listed and then start."""
     found = []
     for k, kind in enumerate(KINDS):
-        hit = located(text, PATTERNS[kind], k, around)
+        hit = located(text, PATTERNS[kind], k)
         hint = HINTS[kind]
         some = F.contains(text, F.lit(hint)) if hint else text.rlike("[0-9][0-9 -]{14}")
         kept = F.filter(hit, _keeps(kind))
@@ -113,60 +105,60 @@ def _named(spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(names[s["kind"]].alias("name"), s["start"].alias("start"), s["end"].alias("end")))
 
 
-def _side_words(side: str, around: int) -> Column:
-    """Whole words of the text left or right of a span, with their places."""
-    s = F.col(f"s.{side}")
-    cut = F.length(s) == around
-    # a word that the window's edge may have cut is left out
-    if side == "left":
-        body = F.when(cut, F.regexp_replace(s, r"^\p{L}+", "")).otherwise(s)
-        origin = F.col("s.start") - F.length(body)
-    else:
-        body = F.when(cut, F.regexp_replace(s, r"\p{L}+$", "")).otherwise(s)
-        origin = F.col("s.end")
-    words = located(body, WORD, len(KINDS), 0)
-    return F.transform(words, lambda w: F.struct(F.lower(w["value"]).alias("term"), (w["start"] + origin).alias("start"), (w["end"] + origin).alias("end")))
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
+
 
+def occurrences(texts: DataFrame) -> DataFrame:
+    """(key, term, start, end, spans) of every word of texts (key, text, spans), one row a text; running sums give the places."""
+    parts = F.arrays_zip(F.split("text", WORD, -1).alias("p"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("v"))
+    rows = texts.select("key", F.posexplode(parts).alias("at", "x")).select("key", "at", "x.p", "x.v")
+    end = F.sum(F.length("p") + F.coalesce(F.length("v"), F.lit(0))).over(Window.partitionBy("key").orderBy("at")).cast("int")
+    rows = rows.withColumn("end", end).where("v is not null")
+    return rows.select("key", F.lower("v").alias("term"), (F.col("end") - F.length("v")).alias("start"), "end").join(texts.select("key", "spans"), "key")
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, around: int, disclosure: float, least_texts: int) -> DataFrame:
-    """(key, start, end) of the terms near protected values that disclose them.
 
-    ``found``: key (of a distinct text), copies (its documents), spans.
+def disclosing_terms(found: DataFrame, docs: DataFrame, disclosure: float, least_texts: int) -> DataFrame:
+    """(key, start, end) of the terms that disclose a protected value of their text.
+
+    ``found``: key (of a distinct text), copies (its documents), text, spans. Values that fewer than ``least_texts`` texts
+    hold have no pair that counts, so words are paired with the other ones only.
     """
-    near = found.select("key", "copies", F.explode("spans").alias("s"), "spans")
-    near = near.withColumn("w", F.explode(F.concat(_side_words("left", around), _side_words("right", around))))
-    clear = ~F.exists("spans", lambda b: (b["start"] < F.col("w.end")) & (b["end"] > F.col("w.start")))
-    near = near.where(clear).select(
-        "key", "copies", F.concat_ws(":", F.col("s.kind"), F.lower("s.value")).alias("value"), "w.term", "w.start", "w.end"
-    )
-    near = written(near.distinct(), "near")
-    both = near.select("key", "copies", "value", "term").distinct().groupBy("value", "term")
-    both = both.agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= least_texts)
+    value = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"])))
+    held = written(found.select("key", "copies", F.explode(F.array_distinct(value)).alias("value")), "values-held")
+    values = held.groupBy("value").agg(F.sum("copies").alias("n_value"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= least_texts)
+    values = written(values.select("value", "n_value"), "values")
+    shared = written(held.join(sized(values.select("value")), "value", "left_semi"), "shared")
+    known = found.join(shared.select("key").distinct(), "key", "left_semi")
+    pairs = shared.join(known.select("key", F.explode(_terms(F.col("text"))).alias("term")), "key")
+    both = pairs.groupBy("value", "term").agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= least_texts)
     both = written(both, "pairs")
-    values = found.select("key", "copies", F.explode("spans").alias("s")).select("key", "copies", F.concat_ws(":", F.col("s.kind"), F.lower("s.value")).alias("value"))
-    values = values.distinct().groupBy("value").agg(F.sum("copies").alias("n_value"))
     n_both = both.count()
     if not n_both:
-        return near.select("key", "start", "end").where("false")
+        return found.select("key", F.lit(0).alias("start"), F.lit(0).alias("end")).where("false")
     terms = sized(both.select("term").distinct(), n_both)
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)), F.lower))
-    held = docs.select(F.explode(words).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    scored = both.join(values, "value").join(held, "term")
+    words = _terms(F.coalesce("text", F.lit("")))
+    n_term = docs.select(F.explode(words).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    scored = both.join(values, "value").join(n_term, "term")
     total = docs.count()
     pmi = F.ln(F.col("n_both") * F.lit(float(total)) / F.col("n_term") / F.col("n_value"))
     ic = F.ln(F.lit(float(total)) / F.col("n_value"))
     strong = written(scored.where((ic > 0) & (pmi >= F.lit(disclosure) * ic)).select("value", "term"), "strong")
-    return near.join(sized(strong), ["value", "term"], "left_semi").select("key", "start", "end").distinct()
+    marked = written(pairs.join(sized(strong), ["value", "term"], "left_semi").select("key", "term").distinct(), "marked")
+    texts = known.join(marked.select("key").distinct(), "key", "left_semi").select("key", "text", "spans")
+    spots = occurrences(texts).join(marked, ["key", "term"], "left_semi")
+    clear = ~F.exists("spans", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
+    return spots.where(clear).select("key", "start", "end").distinct()
 
 
-def text_spans(docs: DataFrame, around: int = 48, disclosure: float = 0.9, least_texts: int = 2) -> DataFrame:
+def text_spans(docs: DataFrame, disclosure: float = 0.9, least_texts: int = 2) -> DataFrame:
     """One row per row of ``docs``: doc_id, base and spans (arrays of kind name, start, end)."""
     text = F.coalesce("text", F.lit(""))
-    first = docs.select("doc_id", F.sha2(text, 256).alias("key"), base_spans(text, around).alias("spans"))
-    first = written(first, "spans")
+    first = docs.select("doc_id", F.sha2(text, 256).alias("key"), base_spans(text).alias("spans"), text.alias("text"))
+    first = written(first.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))), "spans")
     some = first.where(F.size("spans") > 0)
-    found = written(some.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("spans").alias("spans")), "found")
-    extra = disclosing_terms(found, docs, around, disclosure, least_texts)
+    found = written(some.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("spans").alias("spans"), F.first("text").alias("text")), "found")
+    extra = disclosing_terms(found, docs, disclosure, least_texts)
     extra = extra.groupBy("key").agg(F.sort_array(F.collect_set(F.struct(F.lit(TERM).alias("name"), "start", "end"))).alias("terms"))
     extra = written(extra, "terms")
     base = _named(F.col("spans"))
