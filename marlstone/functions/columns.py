@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from functools import wraps
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 TICKER = ("ticker",)
 
 
+def shielded(operator):
+    """Let a caller's columns that begin with ``_`` pass through: operators name their temporary columns so.
+
+    Columns that an argument names are left alone; renaming costs nothing in the optimised plan.
+    """
+
+    @wraps(operator)
+    def run(panel: DataFrame, *args, **how):
+        named = {a for a in (*args, *how.values()) if isinstance(a, str)}
+        safe = {x: f"kept{i}{x}" for i, x in enumerate(panel.columns) if x.startswith("_") and x not in named}
+        if not safe:
+            return operator(panel, *args, **how)
+        out = operator(panel.withColumnsRenamed(safe), *args, **how)
+        return out.withColumnsRenamed({v: k for k, v in safe.items()})
+
+    return run
+
+
 def c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -35,8 +55,8 @@ def at_most(x: Column | str, high: float) -> Column:
 
 
 def log(x: Column | str) -> Column:
-    """Natural logarithm, null for what is not positive."""
-    return F.when(c(x) > 0, F.ln(c(x)))
+    """Natural logarithm, null for what is not positive or not a number."""
+    return F.when((c(x) > 0) & ~F.isnan(c(x)), F.ln(c(x)))
 
 
 def root(x: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
-from ..functions.columns import impact_bps, pct_rank
+from ..functions.columns import impact_bps, pct_rank, shielded
 from .features import fundamental_features
 from .labels import forward_return
 from .panel import rebalance_dates
@@ -17,6 +17,7 @@ def median_adv(panel: DataFrame) -> DataFrame:
     return panel.groupBy("ticker").agg(F.percentile(F.col("close") * F.col("volume"), F.lit(0.5)).alias("adv"))
 
 
+@shielded
 def book(scored: DataFrame, low: float, high: float, least: int, score: str = "score", ret: str = "fwd_ret") -> DataFrame:
     """(k, date, ticker, w, ret): equal-weighted legs of one half each on every date with ``least`` names.
 
@@ -70,6 +71,7 @@ def costed_backtest(scored: DataFrame, adv: DataFrame, stride: int = DEFAULT.hor
     return costed(book(on_stride(scored, stride), frac, 1 - frac, least), adv, **costs)
 
 
+@shielded
 def long_short_sensor(scored: DataFrame, score: str = "score", ret: str = "fwd_ret", least: int = 4) -> DataFrame:
     """(date, ls): mean return above minus below the date's median score; names on it count in neither."""
     day = Window.partitionBy("date")
@@ -79,6 +81,7 @@ def long_short_sensor(scored: DataFrame, score: str = "score", ret: str = "fwd_r
     return df.where(F.col("_n") >= least).groupBy("date").agg((up - down).alias("ls")).where("ls is not null")
 
 
+@shielded
 def sized_long_short(sized: DataFrame, weight: str = "size", ret: str = "fwd_ret", least: int = 4) -> DataFrame:
     """(date, ls): return weighted by signed size; a missing return earns nothing and keeps its weight below."""
     gross = F.sum(F.abs(weight))

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
-from ..functions.columns import by_ticker
+from ..functions.columns import by_ticker, shielded
+from ..session import materialise
 from .features import daily_vol
 
 
+@shielded
 def triple_barrier(panel: DataFrame, pt: float = DEFAULT.pt_mult, sl: float = DEFAULT.sl_mult, horizon: int = DEFAULT.horizon, span: int = DEFAULT.vol_span) -> DataFrame:
     """Adds sigma, label, barrier, fwd_ret, t1, res_idx and idx.
 
     The next ``horizon`` bars are gathered in one window; the first that touches a barrier resolves the label. A bar
     that touches both counts as a stop; without a touch the label resolves at the last bar seen. The bar's own deviation
-    must be known and positive, and the ticker's last bar has no label.
+    must be known and positive, and the ticker's last bar has no label. A null high or low touches nothing; columns of
+    these names are replaced; an empty panel gives no row.
     """
     w = by_ticker()
     ahead = w.rowsBetween(1, horizon)
@@ -48,28 +51,43 @@ def forward_return(panel: DataFrame, n: int = DEFAULT.rebalance, name: str = "fw
 # ---- sample weights ----------------------------------------------------------------------------------------------
 
 
+def _marked(df: DataFrame, *marks: Column) -> DataFrame:
+    """Each row once for every mark (a struct with pos) that is not null, in column _m: no second pass over the input,
+    and rows of a ticker stay where they are."""
+    return df.withColumn("_m", F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull())))
+
+
+@shielded
 def concurrency(labeled: DataFrame) -> DataFrame:
     """``conc``: labels whose interval [idx, res_idx] covers the bar.
 
-    +1 where a label starts and -1 after it resolves, stacked and summed up: no bar is joined to labels.
+    A label steps up at its own bar and down after the one it resolves at; the steps are laid among the bars and summed
+    up in one window, so no bar is joined to labels. Rows without a label count nothing; an empty panel gives no row.
     """
-    own = labeled.where("res_idx is not null")
-    steps = own.select("ticker", F.col("idx"), F.lit(1).alias("step")).unionByName(
-        own.select("ticker", (F.col("res_idx") + 1).alias("idx"), F.lit(-1).alias("step"))
-    )
-    steps = steps.groupBy("ticker", "idx").agg(F.sum("step").alias("step"))
-    run = Window.partitionBy("ticker").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    return labeled.join(steps, ["ticker", "idx"], "left").withColumn("conc", F.sum(F.coalesce("step", F.lit(0))).over(run)).drop("step")
+    known = F.col("res_idx").isNotNull()
+    mark = lambda pos, bar, step: F.struct(pos.cast("long").alias("pos"), F.lit(bar).alias("bar"), step.cast("long").alias("step"))
+    rows = _marked(labeled, mark(F.col("idx"), 1, known.cast("int")), F.when(known, mark(F.col("res_idx") + 1, 0, F.lit(-1))))
+    run = Window.partitionBy("ticker").orderBy("_m.pos", "_m.bar").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("conc", F.sum("_m.step").over(run)).where("_m.bar = 1").drop("_m")
+
 
+def _over_interval(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``name``: sum of ``value`` over [idx, res_idx], the difference of prefix sums at both ends.
 
-def _over_interval(df: DataFrame, value, name: str) -> DataFrame:
-    """``name``: sum of ``value`` over [idx, res_idx] by prefix sums and one lookup of the end bar."""
+    Each label asks for the sum at its end by a mark laid after that bar: one window more instead of a self-join.
+    """
     run = Window.partitionBy("ticker").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_p", F.sum(F.coalesce(value, F.lit(0.0))).over(run)).withColumn("_v", F.coalesce(value, F.lit(0.0)))
-    ends = df.select("ticker", F.col("idx").alias("res_idx"), F.col("_p").alias("_q"))
-    return df.join(ends, ["ticker", "res_idx"], "left").withColumn(name, F.col("_q") - F.col("_p") + F.col("_v")).drop("_p", "_q", "_v")
+    df = df.withColumn("_v", F.coalesce(value, F.lit(0.0))).withColumn("_p", F.sum("_v").over(run))
+    known = F.col("res_idx").isNotNull()
+    mark = lambda pos, asks: F.struct(pos.cast("long").alias("pos"), F.lit(asks).alias("asks"))
+    rows = _marked(df, mark(F.col("idx"), 0), F.when(known, mark(F.col("res_idx"), 1)))
+    upto = Window.partitionBy("ticker").orderBy("_m.pos", "_m.asks").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_q", F.last(F.when(F.col("_m.asks") == 0, F.col("_p")), ignorenulls=True).over(upto))
+    rows = rows.where((F.col("_m.asks") == 1) | ~known)
+    return rows.withColumn(name, F.when(known, F.col("_q") - F.col("_p") + F.col("_v"))).drop("_m", "_p", "_q", "_v")
 
 
+@shielded
 def average_uniqueness(labeled: DataFrame) -> DataFrame:
     """``uniq``: mean of 1/concurrency over the label's interval; null without a label."""
     df = concurrency(labeled)
@@ -77,6 +95,7 @@ def average_uniqueness(labeled: DataFrame) -> DataFrame:
     return df.withColumn("uniq", F.col("_sum") / (F.col("res_idx") - F.col("idx") + 1)).drop("_sum")
 
 
+@shielded
 def return_attribution(labeled: DataFrame) -> DataFrame:
     """``attr``: |sum of log returns shared by concurrency| over the label's interval."""
     df = concurrency(labeled)
@@ -96,16 +115,17 @@ def time_decay(df: DataFrame, weight: str, last_w: float = 1.0, name: str = "dec
     return df.withColumn(name, F.col(weight) * F.greatest(decay, F.lit(0.0)))
 
 
+@shielded
 def sample_weights(labeled: DataFrame, mode: str = "return_attr", decay: float | None = None) -> DataFrame:
-    """``w``: weights with mean 1 over the positive ones; 0 without a label."""
+    """``w``: weights with mean 1 over the positive ones; 0 without a label. Without a positive one they stay 0."""
     df, raw = (average_uniqueness(labeled), "uniq") if mode == "uniqueness" else (return_attribution(labeled), "attr")
     if decay is not None:
         df = time_decay(df, raw, decay, "_d")
         raw = "_d"
-    df = df.withColumn("_w", F.coalesce(raw, F.lit(0.0)))
+    df = materialise(df.withColumn("_w", F.coalesce(raw, F.lit(0.0))), "raw-weights")  # read twice: for the mean and the result
     mean = df.agg(F.avg(F.when(F.col("_w") > 0, F.col("_w"))).alias("_mean"))
-    out = df.withColumn("_k", F.lit(1)).join(F.broadcast(mean.withColumn("_k", F.lit(1))), "_k")  # one row
-    return out.withColumn("w", F.when(F.col("_mean") > 0, F.col("_w") / F.col("_mean")).otherwise(F.col("_w"))).drop("_w", "_mean", "_d", "_k")
+    out = df.join(F.broadcast(mean))  # one row
+    return out.withColumn("w", F.when(F.col("_mean") > 0, F.col("_w") / F.col("_mean")).otherwise(F.col("_w"))).drop("_w", "_mean", "_d")
 
 
 def indicator_matrix(labeled: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio
+from ..functions.columns import ratio, shielded
 
 
 def adjust_total_return(raw: DataFrame, close: str = "close", adjusted: str = "adjustedClose") -> DataFrame:
@@ -34,6 +34,7 @@ def with_min_bars(panel: DataFrame, least: int = 300) -> DataFrame:
     return panel.join(enough, "ticker", "left_semi")
 
 
+@shielded
 def first_of_each(panel: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row for each key, the first by ``order``."""
     rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -74,21 +75,33 @@ def select_universe(stocks: DataFrame, n: int = 120, min_adv: float = 5e6) -> Da
     return liquid.orderBy(F.coalesce("market_cap", F.lit(0.0)).desc(), "ticker").limit(n)
 
 
+@shielded
 def adjustment_factor(bars: DataFrame, events: DataFrame) -> DataFrame:
     """``factor``: product of max(0, 1 - value/close_prior) over events after the bar's date.
 
-    Events are summed per (ticker, ex_date) and laid among the bars as zero-width rows; a reverse running sum of
-    logarithms and of zero counts gives the product without joining bars to events.
+    Each ticker's events, a short list, are multiplied up from the latest back; the running products are laid among the
+    bars as rows, and each bar takes that of the next event after it: linear in bars, without joining bars to events.
+    Events without a positive prior close or with a null date or value are ignored; several on one day count each;
+    without any the factor is 1.
     """
     step = F.greatest(F.lit(0.0), 1 - F.col("value") / F.col("close_prior"))
-    ev = events.where("close_prior > 0").select("ticker", F.col("ex_date").alias("date"), step.alias("step"))
-    ev = ev.select("ticker", "date", F.when(F.col("step") > 0, F.ln("step")).otherwise(0.0).alias("ln"), (F.col("step") == 0).cast("int").alias("zero"))
-    ev = ev.groupBy("ticker", "date").agg(F.sum("ln").alias("ln"), F.sum("zero").alias("zero"))
-    joined = bars.join(ev, ["ticker", "date"], "full").withColumn("_bar", F.col("close").isNotNull())
-    later = Window.partitionBy("ticker").orderBy(F.col("date").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    zeros, logs = F.coalesce(F.sum("zero").over(later), F.lit(0)), F.coalesce(F.sum("ln").over(later), F.lit(0.0))
-    joined = joined.withColumn("factor", F.when(zeros > 0, 0.0).otherwise(F.exp(logs)))
-    return joined.where("_bar").drop("_bar", "ln", "zero")
+    ev = events.where("close_prior > 0 and value is not null and ex_date is not null")
+    listed = F.sort_array(F.collect_list(F.struct(F.col("ex_date").alias("date"), step.alias("step"))), asc=False)
+    ev = ev.groupBy("ticker").agg(listed.alias("_e"))
+    start = F.struct(F.lit(1.0).alias("p"), F.array().cast("array<double>").alias("all"))
+
+    def multiply(acc, e):
+        p = acc["p"] * e["step"]
+        return F.struct(p.alias("p"), F.concat(acc["all"], F.array(p)).alias("all"))
+
+    products = ev.select("ticker", "_e", F.aggregate("_e", start, multiply, lambda acc: acc["all"]).alias("_p"))
+    marks = products.select("ticker", F.posexplode(F.arrays_zip("_e", "_p")).alias("_at", "_x"))
+    marks = marks.select("ticker", F.col("_x._e.date").alias("date"), F.lit(0).alias("_side"), "_at", F.col("_x._p").alias("_f"))
+    both = bars.withColumn("_side", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    # from the latest date back: a day's bars come before its events, which count only for earlier bars
+    later = Window.partitionBy("ticker").orderBy(F.col("date").desc(), F.col("_side").desc(), "_at").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("factor", F.coalesce(F.last("_f", ignorenulls=True).over(later), F.lit(1.0)))
+    return both.where("_side = 1").drop("_side", "_at", "_f")
 
 
 def reference_difference(adjusted: DataFrame, reference: DataFrame) -> DataFrame:
@@ -97,6 +110,7 @@ def reference_difference(adjusted: DataFrame, reference: DataFrame) -> DataFrame
     return adjusted.join(r, ["ticker", "date"]).withColumn("pct_diff", (F.col("close") / F.nullif("ref", F.lit(0.0)) - 1) * 100)
 
 
+@shielded
 def never_falls(df: DataFrame, column: str = "factor", slack: float = 1e-9) -> DataFrame:
     """Per ticker, whether ``column`` is non-decreasing in time."""
     step = F.col(column) - F.lag(column).over(Window.partitionBy("ticker").orderBy("date"))

@@ -7,8 +7,9 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import average_rank, nonzero
+from ..functions.columns import average_rank, nonzero, shielded
 from ..functions.normal import cdf, lit, ppf
+from ..session import materialise
 
 EULER = 0.5772156649015329
 
@@ -85,16 +86,36 @@ def psr_value(sr: float, bench: float, n: float, skew: float = 0.0, kurt: float
     return NormalDist().cdf((sr - bench) * (n - 1) ** 0.5 / under**0.5) if n >= 2 and under > 0 else None
 
 
+def _edges(df: DataFrame, x: str, buckets: int = 256) -> list[float]:
+    """Rough quantiles of ``x``, at most ``buckets`` numbers: they part the work and leave results unchanged."""
+    places = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
+    return sorted(set(df.agg(F.percentile_approx(x, places, F.lit(1000))).first()[0] or []))
+
+
+@shielded
 def auc(scored: DataFrame, score: str = "score", label: str = "label", *keys: str) -> DataFrame:
-    """Area under the ROC curve from average ranks; ties count one half."""
-    whole = keys or ("_all",)
-    df = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    df = df if keys else df.withColumn("_all", F.lit(1))
-    df = df.withColumn("_r", average_rank(score, *whole))
-    n1, n0 = F.sum(F.col(label)).cast("double"), F.sum(1 - F.col(label)).cast("double")
-    ranks = F.sum(F.when(F.col(label) == 1, F.col("_r")))
-    out = df.groupBy(*whole).agg(((ranks - n1 * (n1 + 1) / 2) / nonzero(n1 * n0)).alias("auc"), F.count(F.lit(1)).alias("n"))
-    return out if keys else out.drop("_all")
+    """Area under the ROC curve, ties one half, for each of ``keys`` or for the whole table: auc and n.
+
+    Rows fold into one for each distinct score. Those are summed up inside ranges of the score and the ranges' totals
+    (a few hundred rows a key) after that, so no task sorts the table, with keys or without. Rows without a score or a
+    label are left out; a key with one class only has no auc; without any row there is a row without auc only where no
+    keys are asked for.
+    """
+    known = scored.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(label).isNotNull())
+    known = known.select(*keys, F.col(score).cast("double").alias("_x"), F.col(label).cast("long").alias("_y"))
+    edges = F.array(*[F.lit(e) for e in _edges(known, "_x")]).cast("array<double>")
+    each = known.groupBy(*keys, "_x").agg(F.sum("_y").alias("_n1"), F.sum(1 - F.col("_y")).alias("_n0"))
+    each = each.withColumn("_range", F.size(F.filter(edges, lambda e: e < F.col("_x"))))
+    below = Window.partitionBy(*keys, "_range").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("_under", F.coalesce(F.sum("_n0").over(below), F.lit(0)))
+    ranges = each.groupBy(*keys, "_range").agg(
+        F.sum(F.col("_n1") * (F.col("_under") + F.col("_n0") / 2)).alias("_wins"), F.sum("_n1").alias("_n1"), F.sum("_n0").alias("_n0")
+    )
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_under", F.coalesce(F.sum("_n0").over(before), F.lit(0)))
+    n1, n0 = F.sum("_n1").cast("double"), F.sum("_n0").cast("double")
+    wins = F.sum(F.col("_wins") + F.col("_n1") * F.col("_under"))
+    return ranges.groupBy(*keys).agg((wins / nonzero(n1 * n0)).alias("auc"), F.coalesce(F.sum(F.col("_n1") + F.col("_n0")), F.lit(0)).alias("n"))
 
 
 def accuracy(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -111,14 +132,25 @@ def rank_ic(scored: DataFrame, score: str, target: str, least: int = 12) -> Data
     return out.where(F.col("n") >= least).where(F.col("ic").isNotNull() & ~F.isnan("ic"))
 
 
+@shielded
 def relevance(df: DataFrame, x: str, buckets: int = 5, *keys: str) -> DataFrame:
-    """Equal-count bucket of ``x`` (ties by ticker and date): edges are linear quantiles of the ranks 1..n."""
-    keys = keys or ("_all",)
-    rows = df.where(F.col(x).isNotNull())
-    rows = rows.withColumn("_all", F.lit(1)) if keys == ("_all",) else rows
-    w = Window.partitionBy(*keys)
-    r, n = F.row_number().over(w.orderBy(x, "ticker", "date")), F.count(F.lit(1)).over(w)
-    rows = rows.withColumns({"_r": r, "_n": n})
+    """Equal-count bucket of ``x`` (ties by ticker and date): edges are linear quantiles of the ranks 1..n.
+
+    Ranks count within each of ``keys``; without keys the table is written in ranges of (x, ticker, date), ranked inside
+    each range and moved up by the rows of the ranges before, so no task sorts it whole. Rows with a null ``x`` go.
+    """
+    rows, order = df.where(F.col(x).isNotNull()), [x, "ticker", "date"]
+    if keys:
+        w = Window.partitionBy(*keys)
+        rows = rows.withColumns({"_r": F.row_number().over(w.orderBy(*order)), "_n": F.count(F.lit(1)).over(w)})
+    else:
+        rows = materialise(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+        held = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_held"))
+        upto = F.sum("_held").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))
+        held = held.withColumns({"_before": upto - F.col("_held"), "_n": F.sum("_held").over(Window.partitionBy(F.lit(0)))}).drop("_held")
+        inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+        rows = rows.withColumn("_r", inside).join(F.broadcast(held), "_range")  # one row a shuffle partition
+        rows = rows.withColumn("_r", F.col("_r") + F.col("_before")).drop("_range", "_before")
     # bucket b holds ranks in (1 + b(n-1)/k, 1 + (b+1)(n-1)/k]; the first takes rank 1 too
     place = F.ceil((F.col("_r") - 1) * F.lit(buckets) / nonzero(F.col("_n") - 1)) - 1
-    return rows.withColumn("relevance", F.greatest(F.coalesce(place, F.lit(0)), F.lit(0)).cast("int")).drop("_r", "_n", "_all")
+    return rows.withColumn("relevance", F.greatest(F.coalesce(place, F.lit(0)), F.lit(0)).cast("int")).drop("_r", "_n")

@@ -10,12 +10,19 @@ SCHEMA = "name string, sharpe double"
 SEEDS = [("L0", 0.0), ("L1", -0.022), ("L2", 0.028), ("L3", -0.088)]
 
 
+def _file(spark, path: str):
+    """(file system, path) on the JVM side."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def load(spark, path: str) -> DataFrame:
-    """The log, or an empty table where there is none that can be read."""
-    try:
-        return spark.read.schema(SCHEMA).parquet(path)
-    except Exception:
+    """The log, or an empty table where nothing was written yet. Any other failure to read it is raised: a log taken
+    for empty would be overwritten by the next :func:`save`."""
+    fs, p = _file(spark, path)
+    if not fs.exists(p):
         return spark.createDataFrame([], SCHEMA)
+    return spark.read.schema(SCHEMA).parquet(path)
 
 
 def append(log: DataFrame, new: DataFrame) -> DataFrame:
@@ -33,8 +40,6 @@ def save(log: DataFrame, path: str) -> None:
     """Writes beside the old log and swaps it in, so a failed write loses nothing."""
     spark = log.sparkSession
     log.coalesce(1).write.mode("overwrite").parquet(f"{path}.new")
-    jvm = spark.sparkContext._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    (fs, old), (_, new) = _file(spark, path), _file(spark, f"{path}.new")
     fs.delete(old, True)
     fs.rename(new, old)

@@ -81,8 +81,10 @@ def panel_dedup(spark, sf_dir):
 
 @query
 def missing_tickers(spark, sf_dir):
-    early = d.bars(spark, sf_dir).where("date < date'1992-01-20'")
-    return panel.missing_tickers(early, d.table(spark, sf_dir, "part").select(F.col("p_brand").alias("ticker")).distinct())
+    """The listing holds every brand and every part type; only brands have bars."""
+    part = d.table(spark, sf_dir, "part")
+    listed = part.select(F.explode(F.array("p_brand", "p_type")).alias("ticker")).distinct()
+    return panel.missing_tickers(d.bars(spark, sf_dir), listed)
 
 
 @query
@@ -92,7 +94,7 @@ def universe_select(spark, sf_dir):
 
 @query
 def adjustment_factor(spark, sf_dir):
-    return rounded(panel.adjustment_factor(d.bars(spark, sf_dir), d.corporate_events(spark, sf_dir)), "ticker", "date", "factor")
+    return panel.adjustment_factor(d.bars(spark, sf_dir), d.corporate_events(spark, sf_dir)).select("ticker", "date", "factor")
 
 
 @query
@@ -106,7 +108,7 @@ def reference_difference(spark, sf_dir):
     f = panel.adjustment_factor(d.bars(spark, sf_dir), d.corporate_events(spark, sf_dir))
     adjusted = f.withColumn("close", F.col("close") * F.col("factor"))
     ref = d.raw_panel(spark, sf_dir).withColumn("close", F.col("adjustedClose"))
-    return rounded(panel.reference_difference(adjusted, ref), "ticker", "date", "pct_diff", digits=9)
+    return panel.reference_difference(adjusted, ref).select("ticker", "date", "pct_diff")
 
 
 # ---- features ------------------------------------------------------------------------------------------------------

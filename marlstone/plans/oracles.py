@@ -67,7 +67,7 @@ LABELS = f"""{SIGMA},
 CONC = f""", steps as (select ticker, idx, sum(s) as s from (select ticker, idx, 1 as s from labels_ where res_idx is not null union all
    select ticker, res_idx + 1, -1 from labels_ where res_idx is not null) group by all),
  conc as (select labels_.*, coalesce(sum(coalesce(s, 0)) over (partition by ticker order by idx), 0)::bigint as conc from labels_ left join steps using (ticker, idx))"""
-UNIQ = """, uniq as (select a.ticker, a.date, a.idx, avg(1.0::double / nullif(b.conc, 0)) as uniq from conc a join conc b
+UNIQ = """, uniq as materialized (select a.ticker, a.date, a.idx, avg(1.0::double / nullif(b.conc, 0)) as uniq from conc a join conc b
    on a.ticker = b.ticker and b.idx between a.idx and a.res_idx group by all)"""
 
 
@@ -94,7 +94,8 @@ ASOF = FUND + """, asof_ as (select x.*, f.end_date, f.book_value, f.trailing_ep
  factors as (select *, trailing_eps / close as earnings_yield, book_value / close as book_to_price, div_yield_raw as div_yield from asof_)"""
 FACTOR = """, ev as (select ticker, min(date) as ex_date, arg_min(v, date) as value from (select ticker, date,
     cast(sum(cast(l_discount as decimal(4,2))) as double) / count(*) as v from trades group by all) group by ticker, year(date)),
- fac as (select x.ticker, x.date, x.close, coalesce(product(case when value is not null then greatest(0.0::double, 1 - value) end), 1.0::double) as factor
+ fac as (select x.ticker, x.date, x.close, coalesce(list_reduce(list(greatest(0.0::double, 1 - value / 1.0::double) order by ex_date desc) filter (where value is not null),
+   lambda a, b: a * b), 1.0::double) as factor
    from x left join ev on x.ticker = ev.ticker and x.date < ev.ex_date group by all)"""
 RAW = """, raw as (select bars.*, close * (1 - v / 10) as adj from bars join (select ticker, date,
     cast(sum(cast(l_discount as decimal(4,2))) as double) / count(*) as v from trades group by all) using (ticker, date))"""
@@ -146,9 +147,9 @@ EXPLOSIVE = f"""{BASE}, y1 as (select *, lc - first_value(lc) over ({W} rows unb
    sum(coalesce(yl * dy, 0)) over o as s4, sum(coalesce(dy * dy, 0)) over o as s5 from y2 window o as ({W} rows unbounded preceding)),
  d as (select a.ticker, a.date, n, a.s1 - b.s1 as sx, a.s2 - b.s2 as sy, a.s3 - b.s3 as sxx, a.s4 - b.s4 as sxy, a.s5 - b.s5 as syy
    from pre a cross join w join pre b on a.ticker = b.ticker and b.idx = a.idx - n),
- t as (select ticker, date, n, n * sxx - sx * sx as den, (n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0) as rho, sx, sy, sxy, syy from d),
- u as (select ticker, date, n, den, rho, (syy - (sy - rho * sx) / n * sy - rho * sxy) / (n - 2) as rest from t),
- best as (select ticker, date, max(rho / sqrt(nullif(rest * n / den, 0))) as explosivity from u where den > 0 and rest > 0 group by all)
+ v as (select ticker, date, n, sxx - sx * sx / n as vx, syy - sy * sy / n as vy, sxy - sx * sy / n as cxy from d),
+ r as (select ticker, date, n, cxy / sqrt(vx * vy) as r from v where vx > 0 and vy > 0),
+ best as (select ticker, date, max(r * sqrt((n - 2) / (1 - r * r))) as explosivity from r where abs(r) < 1 group by all)
  select ticker, date, round(explosivity, 6) as explosivity from x left join best using (ticker, date)"""
 
 _PAIRS = list(combinations(range(6), 2))
@@ -184,14 +185,15 @@ ORACLES: dict[str, str] = {
     "panel_coverage": f"{BASE} select count(*) as n_rows, count(distinct ticker) as n_tickers, min(date) as first_date, max(date) as last_date from bars",
     "panel_dedup": f"""with {TRADES} select ticker, date, l_orderkey, l_linenumber, l_extendedprice from trades
         qualify row_number() over (partition by ticker, date order by l_orderkey, l_linenumber, l_partkey, l_suppkey) = 1""",
-    "missing_tickers": f"""{BASE} select distinct p_brand as ticker from part where p_brand not in (select ticker from bars where date < date '1992-01-20')""",
+    "missing_tickers": f"""{BASE}, listed as (select p_brand as ticker from part union select p_type from part)
+        select ticker from listed where ticker not in (select ticker from bars)""",
     "universe_select": """with s as (select 'P' || p_partkey || case when p_partkey % 7 = 0 then 'F' else '' end as ticker, p_retailprice as close, p_size * 100.0::double as volume,
         case when p_partkey % 11 <> 0 then round(p_retailprice * p_partkey, 2) end as market_cap from part)
         select ticker, close * volume as adv, market_cap from s where close <> 0 and volume <> 0 and not ends_with(ticker, 'F') and close * volume >= 1e6
         order by coalesce(market_cap, 0) desc, ticker limit 120""",
-    "adjustment_factor": f"{BASE}{FACTOR} select ticker, date, round(factor, 6) as factor from fac",
+    "adjustment_factor": f"{BASE}{FACTOR} select ticker, date, factor from fac",  # the same products in the same order: exact
     "factor_check": f"""{BASE}{FACTOR}, st as (select ticker, factor - lag(factor) over ({W}) as s from fac) select ticker, bool_and(coalesce(s >= -1e-9, true)) as rises from st group by ticker""",
-    "reference_difference": f"""{BASE}{FACTOR}{RAW} select fac.ticker, fac.date, round((fac.close * factor / nullif(adj, 0) - 1) * 100, 9) as pct_diff
+    "reference_difference": f"""{BASE}{FACTOR}{RAW} select fac.ticker, fac.date, (fac.close * factor / nullif(adj, 0) - 1) * 100 as pct_diff
         from fac join raw on fac.ticker = raw.ticker and fac.date = raw.date""",
     "momentum": simple(*[(f"mom_{n}", f"close / lag(close, {n}) over ({W}) - 1") for n in (5, 10, 21)]),
     "rolling_vol": simple(*[(f"vol_{n}", roll("stddev_samp", "lr", n)) for n in (10, 21)]),
@@ -231,7 +233,9 @@ ORACLES: dict[str, str] = {
         h as (select *, uniq * greatest(0.0::double, 1 - 0.5 / total * total + 0.5 / total * run) as half from t),
         h2 as (select *, sum(half) over (partition by ticker) as t2, sum(half) over ({W}) as r2 from h)
         select ticker, date, round(half, 6) as half, round(uniq * greatest(0.0::double, 1 - 2.0 / total * total + 2.0 / total * run), 6) as cut from h2""",
-    "panel_weights": f"""{BASE}, {LABELS}{CONC}{UNIQ}, w as (select conc.ticker, conc.date, coalesce(uniq, 0) as w from conc left join uniq using (ticker, idx))
+    "panel_weights": f"""{BASE}, {LABELS}{CONC}, p as (select *, sum(1.0::double / nullif(conc, 0)) over (partition by ticker order by idx) as upto from conc),
+        w as materialized (select a.ticker, a.date, case when a.res_idx is null then 0 else (b.upto - a.upto + 1.0::double / nullif(a.conc, 0)) / (a.res_idx - a.idx + 1) end as w
+          from p a left join p b on a.ticker = b.ticker and b.idx = a.res_idx)
         select ticker, date, round(w / (select avg(w) from w where w > 0), 6) as w from w""",
     "indicator_matrix": f"""{BASE}, {LABELS} select b.ticker, b.idx as bar_idx, count(*) as labels, sum(a.idx)::bigint as label_sum from labels_ a join labels_ b
         on a.ticker = b.ticker and b.idx between a.idx and a.res_idx group by all""",
