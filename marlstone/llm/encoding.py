@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from functools import lru_cache
 from operator import itemgetter
@@ -28,15 +29,17 @@ class WordCachedEncoder:
 
     Both vocabularies cut a text into words by a pattern before merging, and no word reaches over a white space that
     stands between two other characters, except that byte-level words carry the space before them. So a text's ids are
-    the joined ids of its words, and most words come from the cache. Texts whose white space is not of that simple kind
-    go to the library whole. The cache holds two generations of ``capacity`` words: it never grows with the data.
+    the joined ids of its words, and most words come from the cache. Texts whose white space is not of that simple kind,
+    and texts that hold an added token such as ``<|endoftext|>``, go to the library whole. The cache holds two
+    generations of ``capacity`` words: it never grows with the data.
     """
 
-    def __init__(self, path: str, spaces_kept: bool, end_id: int, capacity: int = 250_000):
+    def __init__(self, path: str, spaces_kept: bool, end_id: int, capacity: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = sorted(t.content for t in self.tok.get_added_tokens_decoder().values())
+        self.whole = "|".join([_DOUBLE_GAP if spaces_kept else _ODD_SPACE, *(f"(?i:{re.escape(t)})" for t in added)])
         self.spaces_kept, self.capacity = spaces_kept, capacity
         self.end = np.array([end_id], dtype="<u4")
         self.words: dict[str, bytes] = {}
@@ -93,7 +96,7 @@ class WordCachedEncoder:
         """(ids of all texts, each followed by the end id; end of each text). Words are split and made distinct by
         Arrow, so Python handles each distinct word of the batch once."""
         texts = texts.cast(pa.large_string()).fill_null("")
-        odd = pc.match_substring_regex(texts, _DOUBLE_GAP if self.spaces_kept else _ODD_SPACE)
+        odd = pc.match_substring_regex(texts, self.whole)
         some_odd = pc.any(odd).as_py()
         body = pc.if_else(odd, _large(""), texts) if some_odd else texts
         if self.spaces_kept:

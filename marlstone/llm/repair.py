@@ -1,12 +1,15 @@
 """Operator 1: token ids as binary shards, compressed by Re-Pair grammars that allow random access.
 
-A shard is a contiguous run of documents in ascending ``doc_id`` order. Inside it, rounds of Re-Pair replace frequent
-pairs of adjacent symbols by new symbols (nonterminals). No pair reaches over the end of a document, so each document
-owns a slice of the compressed sequence and can be decoded alone; with the stored expansion lengths any range of tokens
-is found by a prefix sum, without expanding what stands before it.
+A shard is a contiguous run of documents in ascending ``doc_id`` order. Inside it, Re-Pair replaces frequent pairs of
+adjacent symbols by new symbols (nonterminals), round after round until no pair stands ``least`` times in the shard. No
+pair reaches over the end of a document, so each document owns a slice of the compressed sequence and can be decoded
+alone; with the stored expansion lengths any range of tokens is found by a prefix sum, without expanding what stands
+before it. Numbers are stored as 16-bit words and one packed plane for each further bit in use.
 
 Edge cases: null text counts as empty (it gives the end id alone); a null ``doc_id`` sorts first and is kept; repeated
-rows are separate documents; an empty table writes an empty shard table; further columns are ignored.
+rows are separate documents; a document longer than a shard is a shard of its own; texts that hold a token such as
+``<|endoftext|>`` get the ids the library gives them; an empty table writes an empty shard table; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +25,9 @@ from pyspark.sql import functions as F
 from .common import release, scan_width, scratch_path
 from .encoding import encoded_batches
 
-MAGIC, VERSION = b"MRPG", 1
-HEAD = struct.Struct("<4sIIIQQQ")  # magic, version, first nonterminal, rules, symbols, tokens, documents
+MAGIC, VERSION = b"MRPG", 2
+HEAD = struct.Struct("<4sII")  # magic, version, first nonterminal
+PART = struct.Struct("<QB")  # numbers, bits of each
 SHARD_SCHEMA = "part int, seg int, n_docs long, n_tokens long, n_symbols long, n_rules int, shard binary"
 DIGEST_SCHEMA = "doc_id long, at long, n_tokens long, ids_crc32 long, part int, seg int"
 
@@ -31,102 +35,152 @@ DIGEST_SCHEMA = "doc_id long, at long, n_tokens long, ids_crc32 long, part int,
 # ---- grammar -------------------------------------------------------------------------------------------------------
 
 
-def _pick(pairs: np.ndarray, counts: np.ndarray, least: int, most: int) -> np.ndarray:
-    """The most frequent pairs such that no symbol both ends one of them and begins another, so none overlap."""
-    ok = np.flatnonzero(counts >= least)
-    ok = ok[np.lexsort((pairs[ok], -counts[ok]))][: 4 * most]
-    first, second, chosen = set(), set(), []
-    for i, p in zip(ok.tolist(), pairs[ok].tolist()):
-        a, b = p >> 32, p & 0xFFFFFFFF
-        if a in second or b in first or a == b:
-            continue
-        first.add(a)
-        second.add(b)
-        chosen.append(i)
-        if len(chosen) == most:
-            break
-    return pairs[np.sort(np.array(chosen, dtype=np.int64))] if chosen else pairs[:0]
+def _beginnings(seq: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """Where a pair may begin: inside a document and, in a run of one symbol, at every other place."""
+    out = inner.copy()
+    same = np.flatnonzero((seq[:-1] == seq[1:]) & inner)
+    if len(same):
+        first = np.flatnonzero(np.diff(same, prepend=-2) != 1)
+        start = np.repeat(same[first], np.diff(first, append=len(same)))
+        out[same[(same - start) % 2 == 1]] = False
+    return out
+
 
+def _choose(pairs: np.ndarray, counts: np.ndarray, top: int, head: int = 256) -> np.ndarray:
+    """Which of the frequent pairs to replace at once, so that no two of them can overlap.
 
-def compress(ids: np.ndarray, doc_ends: np.ndarray, base: int, rounds: int = 4, least: int = 8, most: int = 2048):
+    Each symbol either begins pairs, ends them, or is paired with itself. The ``head`` most frequent pairs settle this
+    for their symbols in order; any other symbol takes the part in which it covers more. What is left waits.
+    """
+    first, second = pairs >> 32, pairs & 0xFFFFFFFF
+    part = np.zeros(top, dtype=np.int8)  # 1 begins, 2 ends, 3 both
+    order = np.lexsort((pairs, -counts))[:head]
+    for a, b in zip(first[order].tolist(), second[order].tolist()):
+        if a == b:
+            part[a] = part[a] or 3
+        elif part[a] in (0, 1) and part[b] in (0, 2):
+            part[a], part[b] = 1, 2
+    begins = np.bincount(first, counts * np.isin(part[second], (0, 2)), top)
+    ends = np.bincount(second, counts * np.isin(part[first], (0, 1)), top)
+    part = np.where(part == 0, np.where(begins >= ends, 1, 2), part)
+    return np.where(first == second, part[first] == 3, (part[first] == 1) & (part[second] == 2))
+
+
+def _counted(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ordered = np.sort(pairs)
+    edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, dtype=np.int64)
+    return ordered[edge], np.diff(edge, append=len(ordered))
+
+
+def compress(ids: np.ndarray, doc_ends: np.ndarray, base: int, least: int = 8):
     """(symbols, rules, symbol count at each document's end).
 
-    ``rules[k]`` are the two symbols that nonterminal ``base + k`` stands for. Each round counts all adjacent pairs of
-    the shard, takes up to ``most`` that cannot overlap, and replaces every occurrence of them.
+    ``rules[k]`` are the two symbols that nonterminal ``base + k`` stands for. A pair's count never grows, so after the
+    first round only pairs with a symbol of the round before, and those that had to wait, can be frequent.
     """
     seq, ends = ids.astype(np.int64), doc_ends.astype(np.int64)
     rules: list[np.ndarray] = []
-    n_rules = 0
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        pair = (seq[:-1] << 32) | seq[1:]
-        inner = np.ones(len(pair), dtype=bool)
+    fresh, top, waiting = 0, base, np.zeros(0, dtype=np.int64)
+    while len(seq) > 1:
+        inner = np.ones(len(seq) - 1, dtype=bool)
         inner[ends[ends < len(seq)] - 1] = False
-        ordered = np.sort(pair[inner])
-        new = np.flatnonzero(np.diff(ordered, prepend=np.int64(-1)))
-        chosen = _pick(ordered[new], np.diff(new, append=len(ordered)), least, most)
-        if not len(chosen):
+        look = _beginnings(seq, inner)
+        if rules:
+            new = seq >= fresh
+            look &= new[:-1] | new[1:] | _may_hold(seq, waiting, top)
+        at = np.flatnonzero(look)
+        pair = (seq[at] << 32) | seq[at + 1]
+        found, count = _counted(pair)
+        often = count >= least
+        if not often.any():
             break
-        top = base + n_rules
-        left, right = np.zeros(top, dtype=bool), np.zeros(top, dtype=bool)
-        left[chosen >> 32] = True
-        right[chosen & 0xFFFFFFFF] = True
-        at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]] & inner)
-        slot = np.minimum(np.searchsorted(chosen, pair[at]), len(chosen) - 1)
-        hit = chosen[slot] == pair[at]
+        found, count = found[often], count[often]
+        take = _choose(found, count, top)
+        chosen, waiting = found[take], found[~take]
+        may = np.flatnonzero(_may_hold(seq, chosen, top, at))
+        at, pair = at[may], pair[may]
+        slot = np.minimum(np.searchsorted(chosen, pair), len(chosen) - 1)
+        hit = chosen[slot] == pair
         at, slot = at[hit], slot[hit]
         seq[at] = top + slot
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
-        ends = np.concatenate(([0], np.cumsum(keep)))[ends]
+        ends = ends - np.searchsorted(at + 1, ends)
         seq = seq[keep]
-        rules.append(np.stack((chosen >> 32, chosen & 0xFFFFFFFF), axis=1))
-        n_rules += len(chosen)
-    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.int64), ends
-
-
-def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
-    """Tokens that each nonterminal stands for. A rule only names earlier symbols, so one pass in order is enough."""
-    size = np.ones(base + len(rules), dtype=np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        size[base + k] = size[a] + size[b]
-    return size[base:]
+        rules.append(chosen)
+        fresh, top = top, top + len(chosen)
+    flat = np.concatenate(rules) if rules else np.zeros(0, dtype=np.int64)
+    return seq, np.stack((flat >> 32, flat & 0xFFFFFFFF), axis=1), ends
+
+
+def _may_hold(seq: np.ndarray, pairs: np.ndarray, top: int, at=slice(None, -1)) -> np.ndarray:
+    """For places ``at`` (all by default), whether the symbols there begin and end some of ``pairs``: a cheap filter."""
+    left, right = np.zeros(top, dtype=bool), np.zeros(top, dtype=bool)
+    left[pairs >> 32] = True
+    right[pairs & 0xFFFFFFFF] = True
+    after = slice(1, None) if isinstance(at, slice) else at + 1
+    return left[seq[at]] & right[seq[after]]
+
+
+def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids that the nonterminals stand for, end to end; how many each stands for): substituted until none is left."""
+    seq, owner = rules.reshape(-1), np.repeat(np.arange(len(rules)), 2)
+    while True:
+        open_ = seq >= base
+        if not open_.any():
+            return seq.astype(np.uint32), np.bincount(owner, minlength=len(rules))
+        twice = 1 + open_
+        at = (np.cumsum(twice) - twice)[open_]
+        put = rules[seq[open_] - base]
+        seq, owner = np.repeat(seq, twice), np.repeat(owner, twice)
+        seq[at], seq[at + 1] = put[:, 0], put[:, 1]
+
+
+# ---- files ---------------------------------------------------------------------------------------------------------
+
+
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Non-negative integers: their low 16 bits as words, then one packed plane for each further bit in use."""
+    x = np.asarray(x, dtype=np.int64)
+    bits = max(16, int(x.max(initial=0)).bit_length())
+    planes = [np.packbits((x >> k & 1).astype(bool)).tobytes() for k in range(16, bits)]
+    return PART.pack(len(x), bits) + (x & 0xFFFF).astype("<u2").tobytes() + b"".join(planes)
+
+
+def unpack_numbers(blob: bytes, at: int) -> tuple[np.ndarray, int]:
+    """(numbers, where the next part begins)."""
+    n, bits = PART.unpack_from(blob, at)
+    at += PART.size
+    x = np.frombuffer(blob, dtype="<u2", count=n, offset=at).astype(np.int64)
+    at, size = at + 2 * n, -(-n // 8)
+    for k in range(16, bits):
+        plane = np.frombuffer(blob, dtype=np.uint8, count=size, offset=at)
+        x |= np.unpackbits(plane, count=n).astype(np.int64) << k
+        at += size
+    return x, at
 
 
 class Shard:
-    """A decoded header and lazily expanded body of one shard."""
+    """A shard read back: its grammar, its symbols, and where its documents lie."""
 
     def __init__(self, blob: bytes):
-        magic, version, self.base, n_rules, n_symbols, self.n_tokens, n_docs = HEAD.unpack_from(blob)
+        magic, version, self.base = HEAD.unpack_from(blob)
         if (magic, version) != (MAGIC, VERSION):
             raise ValueError("not a shard of this format")
-        at = HEAD.size
-
-        def take(kind: str, n: int) -> np.ndarray:
-            nonlocal at
-            x = np.frombuffer(blob, dtype=kind, count=n, offset=at)
-            at += x.nbytes
-            return x
-
-        self.rules = take("<u4", 2 * n_rules).reshape(-1, 2).astype(np.int64)
-        self.sizes = take("<u4", n_rules).astype(np.int64)
-        self.symbols = take("<u4", n_symbols).astype(np.int64)
-        self.doc_ids, self.known = take("<i8", n_docs), take("u1", n_docs)
-        self.doc_symbols, self.doc_tokens = take("<i8", n_docs + 1), take("<i8", n_docs + 1)
-        self._tables()
-
-    def _tables(self) -> None:
-        size = np.ones(self.base + len(self.rules), dtype=np.int64)
-        size[self.base :] = self.sizes
-        self.size, self.at = size, np.concatenate(([0], np.cumsum(size)))
-        flat = np.zeros(self.at[-1], dtype=np.uint32)
-        flat[: self.base] = np.arange(self.base)
-        for k, (a, b) in enumerate(self.rules.tolist()):
-            x = self.at[self.base + k]
-            flat[x : x + size[a]] = flat[self.at[a] : self.at[a] + size[a]]
-            flat[x + size[a] : x + size[a] + size[b]] = flat[self.at[b] : self.at[b] + size[b]]
-        self.flat = flat
+        at, parts = HEAD.size, []
+        for _ in range(6):
+            x, at = unpack_numbers(blob, at)
+            parts.append(x)
+        rules, self.sizes, self.symbols, held, tokens, known = parts
+        self.rules = rules.reshape(2, -1).T
+        self.doc_ids, self.known = np.frombuffer(blob, dtype="<i8", count=len(known), offset=at), known
+        self.doc_symbols, self.doc_tokens = (np.concatenate(([0], np.cumsum(x))) for x in (held, tokens))
+        flat, sizes = expansions(self.rules, self.base)
+        if not np.array_equal(sizes, self.sizes):
+            raise ValueError("expansion lengths do not match the rules")
+        self.size = np.concatenate((np.ones(self.base, dtype=np.int64), sizes))
+        self.at = np.concatenate(([0], np.cumsum(self.size)))
+        self.flat = np.concatenate((np.arange(self.base, dtype=np.uint32), flat))
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         size = self.size[symbols]
@@ -153,17 +207,10 @@ class Shard:
 def pack_shard(doc_ids: list, ids: np.ndarray, doc_ends: np.ndarray, base: int, **how) -> tuple[bytes, int, int]:
     """(file bytes, symbols, rules) of one shard."""
     symbols, rules, ends = compress(ids, doc_ends, base, **how)
-    head = HEAD.pack(MAGIC, VERSION, base, len(rules), len(symbols), len(ids), len(doc_ids))
-    body = (
-        rules.astype("<u4"),
-        expansion_lengths(rules, base).astype("<u4"),
-        symbols.astype("<u4"),
-        np.array([0 if d is None else d for d in doc_ids], dtype="<i8"),
-        np.array([d is not None for d in doc_ids], dtype="u1"),
-        np.concatenate(([0], ends)).astype("<i8"),
-        np.concatenate(([0], doc_ends)).astype("<i8"),
-    )
-    return head + b"".join(x.tobytes() for x in body), len(symbols), len(rules)
+    lengths = expansions(rules, base)[1]
+    parts = (rules.T.reshape(-1), lengths, symbols, np.diff(ends, prepend=0), np.diff(doc_ends, prepend=0), [d is not None for d in doc_ids])
+    named = np.array([0 if d is None else d for d in doc_ids], dtype="<i8")
+    return HEAD.pack(MAGIC, VERSION, base) + b"".join(map(pack_numbers, parts)) + named.tobytes(), len(symbols), len(rules)
 
 
 # ---- Spark ---------------------------------------------------------------------------------------------------------
