@@ -7,17 +7,21 @@ the links of a spanning star of each linked group, never its pairs. Their union
 vector are then counted exactly inside its component.
 
 Thresholds come from medians of a sample (``sample`` vectors at most), so cells hold equal shares of the data however
-it clusters: a third of all rows in one tight group is cut like the rest. Where a group is so tight that spilling would
-copy it whole to both sides, the node splits without spill and passes a few hub vectors to both sides, which keep its
-halves connected.
+it clusters: a third of all rows in one tight group is cut like the rest. Where a sample cannot make cells small enough,
+each cell that is too large gets a tree of its own from a sample of its own rows, and again, until every cell fits one
+task. Where a group is so tight that spilling would copy it whole to both sides, the node splits without spill and passes
+a few hub vectors to both sides, which keep its halves connected.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing (n_links 0, own
 component, kept); so do rows with a null vec_id, whose component and kept are null. Vectors of unequal length compare
-as if the shorter ones ended in zeros. Rows that repeat a vector are links of each other. An empty table gives no row.
+as if the shorter ones ended in zeros. Rows that repeat a vector are links of each other; rows that share a vec_id but
+not a vector are judged each by its own vector. An empty table gives no row; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,21 +41,40 @@ def usable(column: str):
     return F.coalesce(finite & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
-def unit_rows(column: pa.Array, dim: int) -> np.ndarray:
-    """Float64 unit vectors of an Arrow list column, extended by zeros to ``dim``."""
+def plain_rows(column: pa.Array, dim: int) -> np.ndarray:
+    """An Arrow list column as a matrix of its own number type, extended by zeros to ``dim``."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    sizes = np.diff(column.offsets.to_numpy())
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    sizes, flat = np.diff(column.offsets.to_numpy()), column.flatten().to_numpy(zero_copy_only=False)
     if len(sizes) and (sizes == dim).all():
-        out = flat.reshape(-1, dim).copy()
-    else:
-        out = np.zeros((len(sizes), dim))
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        out[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+        return flat.reshape(-1, dim)
+    out = np.zeros((len(sizes), dim), dtype=flat.dtype)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    return out
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1 in double precision."""
+    out = rows.astype(np.float64)
     out /= np.abs(out).max(axis=1, keepdims=True, initial=1e-300)
     return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
 
 
+def unit_rows(column: pa.Array, dim: int) -> np.ndarray:
+    return unit(plain_rows(column, dim))
+
+
+def as_binary(rows: np.ndarray) -> pa.Array:
+    """One binary value for each row of a matrix."""
+    raw, step = np.ascontiguousarray(rows), rows.shape[1] * rows.itemsize
+    ends = np.arange(len(raw) + 1, dtype=np.int64) * step
+    return pa.Array.from_buffers(pa.large_binary(), len(raw), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).cast(pa.binary())
+
+
+def from_binary(column, kind: np.dtype, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, dim)
+
+
 class Tree:
     """Nodes in arrays: a direction, a threshold, a spill margin, hub ids; leaves are negative numbers."""
 
@@ -135,38 +158,81 @@ def forest_links(
     chosen = classes.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
     got = chosen.select("id", "embedding").toArrow()
     x, ids = unit_rows(got.column(1), dim), got.column(0).to_numpy()
+    kind = np.dtype(np.float32) if classes.schema["embedding"].dataType.elementType.typeName() == "float" else np.dtype(np.float64)
     fit_leaf = max(32, int(cell * len(ids) / max(rows, 1)))
     fitted = [Tree(x, ids, fit_leaf, margin, np.random.default_rng((seed, t))) for t in range(trees)]
     shared = classes.sparkSession.sparkContext.broadcast(fitted)  # bounded by trees x sample / 32 nodes
 
     def deal(batches):
         for batch in batches:
-            v, own = unit_rows(batch.column(1), dim), batch.column(0).to_numpy()
-            raw = v.astype(np.float64)
+            raw, own = plain_rows(batch.column(1), dim).astype(kind), batch.column(0).to_numpy()
+            v = unit(raw)
             for t, tree in enumerate(shared.value):
                 for number, at in tree.leaves_of(v, own):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(at), t, dtype=np.int32)),
-                            pa.array(np.full(len(at), number, dtype=np.int64)),
-                            pa.array(own[at]),
-                            pa.array([r.tobytes() for r in raw[at]], pa.binary()),
-                        ],
-                        names=["tree", "leaf", "id", "vec"],
-                    )
+                    tags = (pa.array(np.full(len(at), t, dtype=np.int32)), pa.array(np.full(len(at), number, dtype=np.int64)))
+                    yield pa.RecordBatch.from_arrays([*tags, pa.array(own[at]), as_binary(raw[at])], names=["tree", "leaf", "id", "vec"])
 
     def compare(key, table):
         own = table.column("id").to_numpy()
-        v = np.frombuffer(b"".join(table.column("vec").to_pylist()), dtype=np.float64).reshape(len(own), dim)
+        v = unit(from_binary(table.column("vec"), kind, dim))
         order = np.argsort(own)
-        found = list(_group_links(v[order], own[order], least, leaf, margin, seed + 7919 * key[0].as_py() + key[1].as_py()))
+        found = list(_group_links(v[order], own[order], least, leaf, margin, (seed + 7919 * key[0].as_py() + key[1].as_py()) % (1 << 63)))
         a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, dtype=np.int64) for i in (0, 1))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     dealt = classes.select("id", "embedding").mapInArrow(deal, LEAF_SCHEMA)
+    if rows * fit_leaf > 4 * cell * max(len(ids), 1):
+        dealt = split_large_cells(written(dealt, "cells"), dim, kind, margin, sample, cell, seed)
     return dealt.groupBy("tree", "leaf").applyInArrow(compare, LINK_SCHEMA)
 
 
+def split_large_cells(cells: DataFrame, dim: int, kind: np.dtype, margin: float, sample: int, cell: int, seed: int, rounds: int = 8) -> DataFrame:
+    """``cells`` (tree, leaf, id, vec) with every cell of more than 4 * ``cell`` rows dealt anew by a tree of its own.
+
+    A large cell's tree is fitted in one task on about ``sample`` of its rows, and its rows pass through copies of that
+    tree in portions: no task ever holds a large cell. ``rounds`` only stops cells that no direction can part.
+    """
+    done = None
+    for turn in range(rounds):
+        held = written(cells.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > 4 * cell), "held")
+        n_held = held.count()
+        if not n_held:
+            break
+        large = cells.join(sized(held, n_held), ["tree", "leaf"])
+        small = cells.join(sized(held, n_held), ["tree", "leaf"], "left_anti")
+        done = small if done is None else done.unionByName(small)
+        rate = F.lit(float(sample) * (1 << 30)) / F.col("held")
+        picked = large.where(F.pmod(F.xxhash64("id", F.lit(seed + turn)), F.lit(1 << 30)) < rate)
+
+        def fit(key, table):
+            own = table.column("id").to_numpy()
+            order, held_here = np.argsort(own), table.column("held")[0].as_py()
+            x = unit(from_binary(table.column("vec"), kind, dim))[order]
+            rng = np.random.default_rng((seed, key[0].as_py(), key[1].as_py() % (1 << 63)))
+            tree = Tree(x, own[order], max(32, int(cell * len(own) / held_here)), margin, rng)
+            return pa.table({"tree": pa.array([key[0].as_py()], pa.int32()), "leaf": pa.array([key[1].as_py()], pa.int64()), "made": pa.array([pickle.dumps(tree)], pa.binary())})
+
+        made = written(picked.groupBy("tree", "leaf").applyInArrow(fit, "tree int, leaf long, made binary"), "made")
+        portions = F.ceil(F.col("held") / (4 * cell)).cast("int")
+        trees = made.join(sized(held, n_held), ["tree", "leaf"]).withColumn("portion", F.explode(F.sequence(F.lit(0), portions - 1)))
+        parts = large.withColumn("portion", F.pmod(F.xxhash64("id"), portions).cast("int"))
+
+        def deal(key, rows, tree):
+            if not rows.num_rows:
+                return pa.table({"tree": pa.array([], pa.int32()), "leaf": pa.array([], pa.int64()), "number": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "vec": pa.array([], pa.binary())})
+            raw, own = from_binary(rows.column("vec"), kind, dim), rows.column("id").to_numpy()
+            numbers, at = zip(*pickle.loads(tree.column("made")[0].as_py()).leaves_of(unit(raw), own))
+            number, at = np.repeat(numbers, [len(x) for x in at]), np.concatenate(at)
+            same = lambda x, t: pa.array(np.full(len(at), x), t)
+            return pa.table({"tree": same(key[0].as_py(), pa.int32()), "leaf": same(key[1].as_py(), pa.int64()), "number": pa.array(number, pa.int64()), "id": pa.array(own[at], pa.int64()), "vec": as_binary(raw[at])})
+
+        keys = ["tree", "leaf", "portion"]
+        again = parts.select(*keys, "id", "vec").groupBy(*keys).cogroup(trees.select(*keys, "made").groupBy(*keys))
+        again = again.applyInArrow(deal, "tree int, leaf long, number long, id long, vec binary")
+        cells = written(again.select("tree", F.xxhash64("leaf", "number").alias("leaf"), "id", "vec"), "cells")
+    return cells if done is None else done.unionByName(cells)
+
+
 def link_counts(members: DataFrame, dim: int, least: float, block: int = 1024) -> DataFrame:
     """(id, others): rows of other classes linked with each class, counted exactly inside its component.
 
@@ -231,9 +297,10 @@ def near_vectors(
     in one of its cells, where the tree goes on within the task that holds the cell.
     """
     base = rows.select("vec_id", "embedding").withColumn("ok", usable("embedding") & F.col("vec_id").isNotNull())
-    good = base.where("ok").groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    classes = written(good, "classes")
-    n, dim = classes.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    good = base.where("ok").groupBy("embedding").agg(F.min("vec_id").alias("vec"), F.count(F.lit(1)).alias("copies"))
+    # a number of its own for each distinct vector, fixed once written: two vectors may share a vec_id
+    classes = written(good.withColumn("id", F.monotonically_increasing_id()), "classes")
+    n, dim, copies = classes.agg(F.count(F.lit(1)), F.max(F.size("embedding")), F.max("copies")).first()
     dim = dim or 1
     if n:
         links = forest_links(classes, dim, n, least, trees, leaf, margin, sample, cell, seed)
@@ -245,22 +312,22 @@ def near_vectors(
     pivots = classes.select(F.col("id").alias("component"), F.col("embedding").alias("pivot"))
     pivots = pivots.join(sized(comp.where("id = component").select("component"), n_comp), "component", "left_semi")
     counts = link_counts(joined.join(pivots, "component"), dim, least)
-    sizes = joined.groupBy("component").agg(F.sum("copies").alias("component_rows"))
-    linked = written(comp.join(counts, "id").join(sizes, "component"), "linked")
+    sizes = joined.groupBy("component").agg(F.sum("copies").alias("component_rows"), F.min("vec").alias("component_id"))
+    linked = written(comp.join(counts, "id").join(sizes, "component").drop("component"), "linked")
     known = classes.join(sized(linked, n_comp), "id", "left").select(
         "embedding",
+        "vec",
         (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("component", "id").alias("component_id"),
+        F.coalesce("component_id", "vec").alias("component_id"),
         F.coalesce("component_rows", "copies").alias("component_rows"),
     )
-    many = classes.where("copies > 1").limit(1).count() > 0
     lone = base.where("not ok").select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
         F.when(F.col("vec_id").isNotNull(), F.lit(True)).alias("kept"), F.lit(1).cast("long").alias("component_rows"),
     )
-    if many:
-        out = base.where("ok").join(known, "embedding")
+    if (copies or 0) > 1:
+        out = base.where("ok").join(known.drop("vec"), "embedding")
     else:  # each row is its class
-        out = known.join(classes.select("embedding", F.col("id").alias("vec_id")), "embedding")
+        out = known.withColumnRenamed("vec", "vec_id")
     out = out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"), "component_rows")
     return out.unionByName(lone)

@@ -55,7 +55,6 @@ def plain_ids(path, text):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     return tok.encode(text or "", add_special_tokens=False).ids
 
 
@@ -68,6 +67,7 @@ def test_word_cache_encodes_like_the_library(path, spaces, spark):
     enc = WordCachedEncoder(path, spaces, 7, capacity=4)
     texts = [r.text for r in odd_documents(spark).select("text").collect()]
     texts += [" lead", "trail ", "a\n", "\n b", "x \n y", "a  b", "it's we'll", "\x1c x", "12345 6", "tab\tx", "é é", "a b", "ΣΑΣ Σ", "nul \0x \0\0 y", "\u180ea b", "n\u00a0b  c", "a\x85b c"]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y <|ENDOFTEXT|>", "<|endoftext|><|endoftext|> it's", "<|endo ftext|>"]
     want = [plain_ids(path, t) + [7] for t in texts]
     for t, w in zip(texts, want):
         ids, ends = enc.encode(pa.array([t], pa.string()))
@@ -82,7 +82,7 @@ def test_grammar_round_trip_and_random_access():
     ids = rng.integers(0, 6, 5000)
     ids[100:300] = 3
     ends = np.array([1, 2, 100, 700, 701, 4999, 5000])
-    blob, n_symbols, n_rules = repair.pack_shard(list(range(6)) + [None], ids, ends, 10, least=2, rounds=8)
+    blob, n_symbols, n_rules = repair.pack_shard(list(range(6)) + [None], ids, ends, 10, least=2)
     s = repair.Shard(blob)
     assert n_rules > 5 and n_symbols < len(ids)
     assert (s.all_tokens() == ids).all() and s.known.tolist() == [1] * 6 + [0]
@@ -90,11 +90,53 @@ def test_grammar_round_trip_and_random_access():
         assert (s.document(i) == ids[a:b]).all()
     for a, b in ((0, 1), (5, 5), (99, 301), (4990, 5000), (0, 5000)):
         assert (s.tokens(a, b) == ids[a:b]).all()
-    assert (repair.expansion_lengths(s.rules, s.base) == s.sizes).all()
+    assert s.sizes.tolist() == [len(s.expand(np.array([s.base + k]))) for k in range(len(s.rules))]
     with pytest.raises(ValueError):
         repair.Shard(b"XXXX" + blob[4:])
 
 
+def most_frequent(symbols, ends):
+    """Most often found pair of a sequence, occurrences of a pair of equal symbols counted without overlap."""
+    count, at = Counter(), 0
+    for end in ends:
+        part, last = symbols[at:end], None
+        for i, (a, b) in enumerate(zip(part, part[1:])):
+            if a == b and last == i - 1:  # the run's second symbol is taken
+                last = None
+                continue
+            last = i if a == b else None
+            count[a, b] += 1
+        at = end
+    return max(count.values(), default=0)
+
+
+@pytest.mark.parametrize("least", [2, 5])
+def test_grammar_goes_on_until_no_pair_is_frequent(least):
+    rng = np.random.default_rng(1)
+    passage = rng.integers(0, 300, 400)
+    parts = [rng.integers(0, 300, rng.integers(1, 200)) for _ in range(30)] + [passage] * 40 + [np.full(n, 7) for n in (1, 2, 3, 500, 1001)]
+    parts = [parts[i] for i in rng.permutation(len(parts))]
+    ids, ends = np.concatenate(parts), np.cumsum([len(x) for x in parts])
+    symbols, rules, cut = repair.compress(ids, ends, 300, least=least)
+    assert most_frequent(symbols.tolist(), cut.tolist()) < least
+    assert repair.expansions(rules, 300)[1].max() >= 200 // least  # a passage met 40 times is not stored over and over
+    s = repair.Shard(repair.pack_shard(list(range(len(parts))), ids, ends, 300, least=least)[0])
+    assert all((s.document(i) == x).all() for i, x in enumerate(parts))
+
+
+def test_numbers_keep_every_bit():
+    for x in ([], [0], [65535, 65536, 3], [1 << 40, 0, (1 << 40) - 1] * 5):
+        blob = b"ab" + repair.pack_numbers(np.array(x, dtype=np.int64))
+        got, at = repair.unpack_numbers(blob, 2)
+        assert got.tolist() == x and at == len(blob)
+
+
+def test_shards_are_smaller_than_plain_ids(spark, sf, tmp_path):
+    shards = repair.write_shards(small(spark, sf, "documents"), f"file://{tmp_path}/s", BYTES)
+    held, tokens = shards.agg(F.sum(F.octet_length("shard")), F.sum("n_tokens")).first()
+    assert held < 2 * tokens
+
+
 def test_shards_match_plain_encoding(spark, tmp_path):
     docs = odd_documents(spark)
     got = repair.token_shards(docs, BYTES, f"file://{tmp_path}/s", shard_tokens=3000).collect()
@@ -153,6 +195,34 @@ def test_forest_matches_brute_force(spark, leaf, cell, sample):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == want
 
 
+def lone_pairs(n_pairs, cosine, dim=64, seed=9):
+    """Pairs at a given cosine, each far from all others."""
+    rng = np.random.default_rng(seed)
+    a = rng.normal(size=(n_pairs, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=(n_pairs, dim))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    return a, cosine * a + np.sqrt(1 - cosine**2) * b
+
+
+@pytest.mark.parametrize("how", [{}, {"sample": 400, "cell": 100}])
+def test_recall_of_the_registered_parameters(spark, how):
+    """Pairs just above the threshold, found by the query's own trees, also where cells are split a second time."""
+    sides = [np.concatenate(x) for x in zip(lone_pairs(2000, 0.901), lone_pairs(2000, 0.93, seed=10))]
+    rows = [(2 * i + j, [float(np.float32(x)) for x in v]) for j in (0, 1) for i, v in enumerate(sides[j])]
+    got = {r.vec_id: r for r in rpforest.near_vectors(vectors(spark, rows), **how).collect()}
+    found = sum(got[2 * i].n_links == 1 and got[2 * i + 1].component_id == 2 * i for i in range(4000))
+    assert len(got) == 8000 and found >= 0.99 * 4000
+    assert all(r.n_links <= 1 for r in got.values())
+
+
+def test_rows_that_share_an_id_are_judged_by_their_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (3, [0.01, 1.0])]
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in rpforest.near_vectors(vectors(spark, rows)).collect())
+    assert got == Counter([(1, 1, 1, True), (2, 1, 1, False), (1, 2, 1, True), (3, 2, 1, False), (3, 2, 1, False)])
+
+
 def test_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (None, [1.0, 0.0]), (9, [1.0, 0.0, 0.0]), (10, [1e30, 1e-3]), (11, [0.0, 1.0])]
@@ -334,7 +404,8 @@ def test_cuts_are_optimal():
     for _ in range(20):
         n, limit = int(rng.integers(20, 200)), 32
         ends = np.unique(np.append(rng.integers(1, n, 6), n))
-        at, cost = packing.candidates(n, ends, np.unique(rng.integers(1, n, 20)), 8, 2.0, 9.0)
+        at, cost = packing.candidates(ends, np.unique(rng.integers(1, n, 20)), limit, 8, 2.0, 9.0)
+        at, cost = np.concatenate(([0], at)), np.concatenate(([0.0], cost))
         cuts = packing.best_cuts(at, cost, limit)
         price = dict(zip(at.tolist(), cost.tolist()))
         spent = sum((0 if (b - a) & (b - a - 1) == 0 else limit - (b - a)) + price[b] for a, b in zip([0, *cuts], cuts))
@@ -342,6 +413,40 @@ def test_cuts_are_optimal():
         assert spent == pytest.approx(plain_cost(n, at.tolist(), cost.tolist(), limit))
 
 
+def test_blocks_lose_nothing():
+    rng = np.random.default_rng(7)
+    sizes = np.minimum(rng.geometric(0.01, 400), 900)
+    marks = [np.unique(np.append(rng.integers(1, n + 1, 1 + n // 20), n)) for n in sizes]
+
+    def pieces(block):
+        stream, out = packing.Stream(128), []
+        for i, (n, m) in enumerate(zip(sizes.tolist(), marks)):
+            at, cost = packing.candidates(np.array([n]), m, 128, 8, 8.0, 48.0)
+            stream.add([i], np.arange(n, dtype=np.uint32), np.array([n]), at, cost)
+            if stream.n >= block:
+                out.append(stream.cut(False, 1 << 40))
+        out.append(stream.cut(True, 1 << 40))
+        return [tuple(int(x) for x in row) for o in out if o for row in zip(*o)], sum(o is not None for o in out)
+
+    whole, once = pieces(1 << 40)
+    for block in (300, 2000):
+        part, many = pieces(block)
+        assert part == whole and many > 5 and once == 1
+    assert sum(p[2] for p in whole) == sizes.sum()
+
+
+def test_a_stream_of_ties_is_cut_within_bounds():
+    stream, done = packing.Stream(64), 0
+    for i in range(3000):  # every place is a free cut, so every state can start a perfect window
+        at, cost = packing.candidates(np.array([1]), np.array([1]), 64, 8, 8.0, 48.0)
+        stream.add([i], np.zeros(1, dtype=np.uint32), np.array([1]), at, cost)
+        if stream.n >= 500:
+            out = stream.cut(False, 499)
+            done += 0 if out is None else int(sum(out[2]))
+            assert stream.n <= 499
+    assert done + stream.n == 3000
+
+
 @pytest.mark.parametrize("block", [1 << 19, 3000])
 def test_pieces_hold_every_id_once(spark, block):
     docs = odd_documents(spark)
