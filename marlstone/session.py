@@ -45,17 +45,27 @@ def ship(spark: SparkSession) -> None:
     context._marlstone_shipped = True
 
 
-def materialise(df, name: str = "table"):
-    """``df`` written once to the folder that executors share (spark.checkpoint.dir) and read back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, spark.checkpoint.dir.
 
-    Iterative fits plan the same input dozens of times; a written table keeps those plans small and survives the loss of
-    executors. Where the setting is missing, as in local tests, a temporary folder is set.
+    Where it is unset a temporary folder is taken and set, but only if the whole session is one machine: on a cluster
+    the tables written there would be lost between executors, so that is an error.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.gettempdir()}/marlstone-scratch"
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def materialise(df, name: str = "table"):
+    """``df`` written once to :func:`shared_folder` and read back.
+
+    Iterative fits plan the same input dozens of times; a written table keeps those plans small and survives the loss of
+    executors.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
