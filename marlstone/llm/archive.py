@@ -70,7 +70,7 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, date: str =
     alone = tagged.where("many is null")
     stored = tagged.where(F.col("many") & lead).groupBy("key").agg(F.first("payload").alias("stored"))
     stored = written(stored, "stored")
-    again = tagged.where(F.col("many")).join(sized(stored, n_shared, 1000), "key")
+    again = tagged.where(F.col("many")).join(sized(stored), "key")
     same = F.col("payload") == F.col("stored")
     again = again.withColumn("own", F.when(same, F.col("key")).otherwise(F.concat_ws(":", "key", "page_id")))
     odd = again.where("own <> key").select(F.col("own").alias("key"), "payload")

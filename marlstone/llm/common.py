@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,23 +13,45 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side may be broadcast only when its row count, taken from a written table, is at most this.
+from ..session import shared_folder
+
+#: A side may be broadcast only when its row count, taken from a written table, is at most this,
 BROADCAST_ROWS = 200_000
+#: and its strings, binaries and arrays (64 bytes an element) hold at most this.
+BROADCAST_BYTES = 64 << 20
 
 MASK64 = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.gettempdir()}/marlstone-scratch"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    """The folder that all executors share (:func:`marlstone.session.shared_folder`)."""
+    return shared_folder(spark)
+
+
+#: Scratch folders made and not yet deleted, in order.
+_MADE: list[str] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Deletes the scratch tables made inside once the scope ends without error, but for paths put into the list it
+    yields. A result that still reads them must be written within: operators return plans over their scratch tables."""
+    begin, keep = len(_MADE), []
+    yield keep
+    for path in _MADE[begin:]:
+        if path not in keep:
+            delete_path(spark, path)
+    _MADE[begin:] = keep
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -46,17 +67,23 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
 def drop_written(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`written` once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        delete_path(df.sparkSession, path)
 
 
 def sized(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint when the (written) table has at most ``limit`` rows; otherwise left to a shuffled join."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df
+    """A broadcast hint when the (written) table is small; otherwise left to a shuffled join.
+
+    Small is at most ``limit`` rows whose values of no fixed width hold at most BROADCAST_BYTES. A caller that passes
+    ``rows`` vouches for narrow rows: numbers and digests only.
+    """
+    wide = 0
+    if rows is None:
+        kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+        parts = [F.octet_length(c) if t in ("string", "binary") else F.size(c) * 64 for c, t in kinds.items() if t in ("string", "binary", "array")]
+        each = reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0)).cast("long") for p in parts], F.lit(0).cast("long"))
+        rows, wide = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(each), F.lit(0))).first()
+    return F.broadcast(df) if rows <= limit and wide <= BROADCAST_BYTES else df
 
 
 def scan_width(df: DataFrame, target: int = 4 << 20, most: int = 50_000) -> int:

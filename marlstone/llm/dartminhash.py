@@ -118,12 +118,12 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def text_class(column: str = "text"):
-    """A 64-bit class of equal texts."""
-    return F.xxhash64(F.sha2(F.coalesce(F.col(column), F.lit("")), 256))
+    """The class of equal texts: their SHA-256, whole, so that no number of texts merges two by chance."""
+    return F.unhex(F.sha2(F.coalesce(F.col(column), F.lit("")), 256))
 
 
 def band_table(docs: DataFrame, bands: int, rows: int, width: int = 5) -> DataFrame:
-    """doc_id, cls, bands (null for texts without words), one row per row of ``docs``."""
+    """doc_id, sha, bands (null for texts without words), one row per row of ``docs``."""
 
     def sketch(batches):
         for batch in batches:
@@ -136,53 +136,80 @@ def band_table(docs: DataFrame, bands: int, rows: int, width: int = 5) -> DataFr
                 offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands)
                 lists = pa.ListArray.from_arrays(offsets, pa.array(h.reshape(-1)), mask=pa.array(~some))
                 part = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["doc_id", "cls", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["doc_id", "sha", "bands"])
         release()
 
-    src = docs.select("doc_id", text_class().alias("cls"), "text")
-    return src.mapInArrow(sketch, "doc_id long, cls long, bands array<long>")
+    src = docs.select("doc_id", text_class().alias("sha"), "text")
+    return src.mapInArrow(sketch, "doc_id long, sha binary, bands array<long>")
+
+
+#: Most of a shingle's weight that one packed entry carries.
+MOST = 65535
+
+
+def packed_shingles(doc: np.ndarray, element: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash * 2**16 + weight). A weight above MOST goes on in further entries under hashes of their own,
+    filled one after the other, so that entries' smaller weights still add up to the smaller weight of the two texts."""
+    parts = -(-weight // MOST)
+    which = np.repeat(np.arange(len(weight)), parts)
+    turn = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
+    h, w = element[which], np.minimum(weight[which] - MOST * turn, MOST)
+    more = np.flatnonzero(turn)
+    h[more] = mix64(h[more] * U(0xD1342543DE82EF95) + turn[more].astype(U)) >> U(16)
+    return doc[which], (h << U(16)) | w.astype(U)
 
 
 def shingle_table(docs: DataFrame, wanted: DataFrame, width: int = 5) -> DataFrame:
-    """(cls, held): for one text of each wanted class its shingles, as sorted hash * 2**16 + weight (at most 65535)."""
+    """(cls, held): for one text of each wanted class (cls, sha, lead) its packed shingles."""
 
     def build(batches):
         for batch in batches:
             for at, texts in text_slices(batch.column(1)):
-                doc, element, weight = shingles(texts, width)
-                packed = ((element << U(16)) | np.minimum(weight, 65535).astype(U)).view(np.int64)
+                doc, packed = packed_shingles(*shingles(texts, width))
                 ends = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(packed))
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(packed.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.slice(at, len(texts)).column(0), lists], names=["cls", "held"])
         release()
 
-    chosen = docs.withColumn("cls", text_class()).select("cls", "text", "doc_id")
-    pick = wanted.select(F.col("cls"), F.col("lead"))
-    mine = chosen.join(pick, "cls").where(F.col("doc_id").eqNullSafe(F.col("lead"))).select("cls", "text")
+    chosen = docs.select(text_class().alias("own"), "text", F.col("doc_id").alias("id"))
+    mine = chosen.join(wanted, (F.col("own") == F.col("sha")) & F.col("id").eqNullSafe(F.col("lead"))).select("cls", "text")
     return mine.mapInArrow(build, "cls long, held array<long>").dropDuplicates(["cls"])
 
 
+def _slices(lengths: np.ndarray, most: int = 1 << 21):
+    """(first, end) of runs of rows with about ``most`` values, 2**14 rows at most."""
+    upto, at = np.cumsum(lengths), 0
+    while at < len(lengths):
+        before = upto[at - 1] if at else 0
+        to = min(at + (1 << 14), max(at + 1, int(np.searchsorted(upto, before + most, "right"))))
+        yield at, to
+        at = to
+
+
 def _similar(least: float):
     """mapInArrow function: keeps pairs (a, b, ha, hb) whose weighted Jaccard similarity is at least ``least``."""
 
+    def numbered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(row, packed) of a list column: the row goes above the 48 bits of the hash."""
+        n = np.diff(column.offsets.to_numpy())
+        return np.repeat(np.arange(len(n), dtype=U), n), column.flatten().to_numpy(zero_copy_only=False).view(U)
+
     def keep(batches):
-        low = U(0xFFFF)
+        low = U(MOST)
         for batch in batches:
-            ok = np.zeros(batch.num_rows, dtype=bool)
             a, b = batch.column(2), batch.column(3)
-            for i in range(batch.num_rows):
-                x = a[i].values.to_numpy(zero_copy_only=False).view(U)
-                y = b[i].values.to_numpy(zero_copy_only=False).view(U)
-                wx, wy = (x & low).astype(np.int64), (y & low).astype(np.int64)
-                both = np.concatenate((x >> U(16), y >> U(16)))
-                w = np.concatenate((wx, wy))
-                order = np.argsort(both, kind="stable")
-                h, w = both[order], w[order]
-                same = np.flatnonzero(h[1:] == h[:-1])
-                shared = int(np.minimum(w[same], w[same + 1]).sum())
-                ok[i] = shared >= least * (int(wx.sum() + wy.sum()) - shared) - 1e-9
-            at = pa.array(np.flatnonzero(ok))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
+            lengths = np.diff(a.offsets.to_numpy()) + np.diff(b.offsets.to_numpy())
+            for at, to in _slices(lengths):
+                row, packed = (np.concatenate(x) for x in zip(numbered(a.slice(at, to - at)), numbered(b.slice(at, to - at))))
+                weight = (packed & low).astype(np.int64)
+                total = np.bincount(row.astype(np.int64), weight, to - at)
+                key = (row << U(48)) | (packed >> U(16))
+                order = np.argsort(key, kind="stable")
+                key, weight = key[order], weight[order]
+                same = np.flatnonzero(key[1:] == key[:-1])
+                shared = np.bincount((key[same] >> U(48)).astype(np.int64), np.minimum(weight[same], weight[same + 1]), to - at)
+                ok = pa.array(at + np.flatnonzero(shared >= least * (total - shared) - 1e-9))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(ok), batch.column(1).take(ok)], names=["a", "b"])
 
     return keep
 
@@ -200,7 +227,7 @@ def _crossing(query: list, query_comp: np.ndarray, others: list, other_comp: np.
     ``query`` and ``others`` are packed shingle arrays. The others' shingles form one sorted posting list, and each
     query adds up what it shares with all of them at once.
     """
-    low = U(0xFFFF)
+    low = U(MOST)
     sizes = [len(x) for x in others]
     packed = np.concatenate(others) if others else np.zeros(0, dtype=U)
     owner = np.repeat(np.arange(len(others)), sizes)
@@ -272,35 +299,36 @@ def near_texts(docs: DataFrame, least: float = 0.8, bands: int = 20, rows: int =
     ``keep_class`` adds cls, the class of equal texts (see :func:`text_class`).
     """
     table = written(band_table(docs, bands, rows, width), "bands")
-    classes = written(
-        table.where("bands is not null").groupBy("cls").agg(F.min("doc_id").alias("lead"), F.first("bands").alias("bands")), "classes"
-    )
+    # texts with words, each distinct one under a number of its own, fixed once written
+    distinct = table.where("bands is not null").groupBy("sha").agg(F.min("doc_id").alias("lead"), F.first("bands").alias("bands"))
+    classes = written(distinct.withColumn("cls", F.monotonically_increasing_id()), "classes")
     spread = classes.select("cls", F.explode("bands").alias("bucket"))
     full = spread.groupBy("bucket").agg(F.min("cls").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "rep")
     full = written(full, "buckets")
     n_full = full.count()
     entries = written(spread.join(sized(full, n_full), "bucket"), "entries")
     star = written(entries.where("cls <> rep").select(F.col("rep").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
-    in_play = written(entries.select("cls").distinct().join(classes.select("cls", "lead"), "cls"), "inplay")
+    in_play = written(entries.select("cls").distinct().join(classes.select("cls", "sha", "lead"), "cls"), "inplay")
     held = written(shingle_table(docs, sized(in_play), width), "shingles")
     links = written(verified(star, held, least), "links")
     groups = components(links)
     more = written(across_components(entries, groups, held, least), "more")
     if more.limit(1).count():
         groups = components(links.unionByName(more))
+    named = written(groups.withColumnRenamed("id", "cls").join(in_play.select("cls", "sha"), "cls").select("sha", "component"), "named")
     for spent in (entries, star, in_play, held, more, classes):
         drop_written(spent)
-    rows_of = table.join(sized(groups.withColumnRenamed("id", "cls")), "cls", "left").select(
-        "doc_id", "cls", F.when(F.col("bands").isNotNull(), F.coalesce("component", "cls")).alias("grp")
-    )
+    # a group is a component's number or, for a text linked with no other, its digest: of different lengths
+    grp = F.coalesce(F.col("component").cast("string").cast("binary"), F.col("sha"))
+    rows_of = table.join(sized(named), "sha", "left").select("doc_id", "sha", F.when(F.col("bands").isNotNull(), grp).alias("grp"))
     many = rows_of.where("grp is not null").groupBy("grp").agg(F.min("doc_id").alias("cluster_id"), F.count(F.lit(1)).alias("cluster_size"))
     many = written(many.where("cluster_size > 1"), "clusters")
     out = rows_of.join(sized(many), "grp", "left")
-    same = out.groupBy("doc_id", "cls", "grp", "cluster_id", "cluster_size").agg(F.count(F.lit(1)).alias("copies"))
+    same = out.groupBy("doc_id", "sha", "grp", "cluster_id", "cluster_size").agg(F.count(F.lit(1)).alias("copies"))
     each = same.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     lead = F.col("doc_id").eqNullSafe(F.col("cluster_id")) & (F.col("copy") == 1)
     return each.select(
-        *(["cls"] if keep_class else []),
+        *([F.col("sha").alias("cls")] if keep_class else []),
         "doc_id",
         F.coalesce("cluster_id", "doc_id").alias("cluster_id"),
         F.coalesce("cluster_size", F.lit(1)).cast("long").alias("cluster_size"),

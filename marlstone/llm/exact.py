@@ -27,6 +27,8 @@ BASE = 1_000_003
 CHUNK = 1 << 13
 #: Bytes compared at once when fingerprints agree.
 BLOCK = 1 << 16
+#: Rows of a group that one task compares with the group's first text.
+PORTION = 512
 
 
 @lru_cache(maxsize=1)
@@ -102,19 +104,23 @@ def _verified(docs: DataFrame, shared: DataFrame, rows: DataFrame, groups: DataF
     members = members.select("print", "n", "doc_id", "sha", "copies", "raw")
     pending, done, turn = members, None, 0
     while True:
-        leads = pending.groupBy("print", "n").agg(F.max(F.struct("sha", "doc_id")).alias("lead"))
-        leads = written(leads.select("print", "n", "lead.*"), "leads")
+        leads = pending.groupBy("print", "n").agg(F.max(F.struct("sha", "doc_id")).alias("lead"), F.count(F.lit(1)).alias("rows"))
+        # rows of a group are dealt to portions, each with a copy of the first text: no group meets in one task
+        portions = F.ceil(F.col("rows") / PORTION).cast("int").alias("portions")
+        leads = written(leads.select("print", "n", F.col("lead.sha").alias("lead_sha"), F.col("lead.doc_id").alias("lead_id"), portions), "leads")
         n_leads = leads.count()
         if not n_leads:
             return done
-        lead_text = pending.join(sized(leads.withColumnRenamed("sha", "lead_sha").withColumnRenamed("doc_id", "lead_id"), n_leads), ["print", "n"])
-        lead_text = lead_text.where((F.col("sha") == F.col("lead_sha")) & F.col("doc_id").eqNullSafe(F.col("lead_id")))
-        lead_text = lead_text.dropDuplicates(["print", "n"]).select("print", "n", F.col("raw").alias("lead_raw"))
+        led = pending.join(sized(leads, n_leads), ["print", "n"])
+        led = led.withColumn("portion", F.pmod(F.xxhash64("sha", "doc_id"), "portions").cast("int"))
+        lead_text = led.where((F.col("sha") == F.col("lead_sha")) & F.col("doc_id").eqNullSafe(F.col("lead_id")))
+        lead_text = lead_text.dropDuplicates(["print", "n"]).select("print", "n", F.col("raw").alias("lead_raw"), "portions")
         spans = F.sequence(F.lit(0), F.floor(F.greatest(F.col("n") - 1, F.lit(0)) / BLOCK).cast("int"))
         cut = lambda c: F.expr(f"substring({c}, block * {BLOCK} + 1, {BLOCK})")
-        ours = pending.withColumn("block", F.explode(spans)).select("print", "n", "block", "doc_id", "sha", "copies", cut("raw").alias("piece"))
-        theirs = lead_text.withColumn("block", F.explode(spans)).select("print", "n", "block", cut("lead_raw").alias("lead_piece"))
-        same = ours.join(theirs, ["print", "n", "block"]).groupBy("print", "n", "doc_id", "sha").agg(
+        ours = led.withColumn("block", F.explode(spans)).select("print", "n", "block", "portion", "doc_id", "sha", "copies", cut("raw").alias("piece"))
+        theirs = lead_text.withColumn("block", F.explode(spans)).select("print", "n", "block", "portions", cut("lead_raw").alias("lead_piece"))
+        theirs = theirs.withColumn("portion", F.explode(F.sequence(F.lit(0), F.col("portions") - 1))).drop("portions")
+        same = ours.join(theirs, ["print", "n", "block", "portion"]).groupBy("print", "n", "doc_id", "sha").agg(
             F.min((F.col("piece") == F.col("lead_piece")).cast("int")).alias("same"), F.max("copies").alias("copies")
         )
         compared = written(same, "compared")

@@ -133,10 +133,9 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, disclosure: float, least
     pairs = shared.join(known.select("key", F.explode(_terms(F.col("text"))).alias("term")), "key")
     both = pairs.groupBy("value", "term").agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= least_texts)
     both = written(both, "pairs")
-    n_both = both.count()
-    if not n_both:
+    if not both.limit(1).count():
         return found.select("key", F.lit(0).alias("start"), F.lit(0).alias("end")).where("false")
-    terms = sized(both.select("term").distinct(), n_both)
+    terms = sized(both.select("term").distinct())
     words = _terms(F.coalesce("text", F.lit("")))
     n_term = docs.select(F.explode(words).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     scored = both.join(values, "value").join(n_term, "term")

@@ -585,6 +585,16 @@ def test_near_texts_match_brute_force(spark, sf):
     assert dartminhash.near_texts(empty_documents(spark)).count() == 0
 
 
+def test_very_frequent_shingles_keep_their_weight(spark):
+    """Weights far above what one packed entry holds: half as many of one shingle is a similarity of one half."""
+    texts = ["a " * 70_000, "a " * 140_000, "a " * 150_000, "b " * 300_000, "b " * 290_000, "a b " * 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = docs.collect()
+    for bands, width in ((20, 5), (60, 2)):  # many narrow bands: every pair comes to the exact comparison
+        got = {r.doc_id: r.cluster_id for r in dartminhash.near_texts(docs, bands=bands, rows=width).collect()}
+        assert got == dict(enumerate(plain_groups(rows))) == {0: 0, 1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
 def test_rest_is_compared_in_blocks(spark):
     rng = np.random.default_rng(8)
     base = [f"w{i}" for i in range(120)]
@@ -595,9 +605,9 @@ def test_rest_is_compared_in_blocks(spark):
             w[at] = f"x{k}_{at}"
         texts.append(" ".join(w))
     docs = spark.createDataFrame(list(enumerate(dict.fromkeys(texts))), "doc_id long, text string")
-    table = dartminhash.band_table(docs, 20, 5)
+    table = dartminhash.band_table(docs, 20, 5).withColumn("cls", F.col("doc_id") * 7 + 3)
     entries = table.select("cls", F.explode("bands").alias("bucket"))
-    held = dartminhash.shingle_table(docs, table.select("cls", F.col("doc_id").alias("lead")))
+    held = dartminhash.shingle_table(docs, table.select("cls", "sha", F.col("doc_id").alias("lead")))
     alone = spark.createDataFrame([], "id long, component long")
     links = dartminhash.across_components(entries, alone, held, 0.8, block=8)
     ids = {r.cls: r.doc_id for r in table.collect()}
