@@ -28,6 +28,16 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Bits of the shuffle key, and those of its head that choose a bucket.
+KEY_BITS, HEAD_BITS = 60, 18
+
+
+def shuffle_key(seed: int, text: Column) -> Column:
+    """A number of KEY_BITS bits from the SHA-256 of seed, doc_id and text: the place in the shuffled order."""
+    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), text), 256)
+    return F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
     """(source, source_size, weight, target) by filling up to the caps.
 
@@ -59,13 +69,14 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3,
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), text).alias("h"), *extra)
+    rows = docs.select("doc_id", "source", word_count().alias("size"), shuffle_key(seed, text).alias("h"), *extra)
     rows = written(rows, "sizes")
     n = rows.count()
     targets = written(source_targets(rows, weights, cap), "targets")
     per = sized(targets.withColumnRenamed("source", "s"))
-    width = min(max(16, -(-n // bucket_rows)), 1 << 18)  # bounds the tables of bucket and slice sums
-    rows = rows.withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(width)))
+    width = min(max(16, -(-n // bucket_rows)), 1 << HEAD_BITS)  # bounds the tables of bucket and slice sums
+    # buckets follow the order of the key, so they part the work and leave the order as it is
+    rows = rows.withColumn("bucket", F.shiftright(F.shiftright("h", KEY_BITS - HEAD_BITS) * width, HEAD_BITS))
     queue = rows.where("size > 0")
     sums = queue.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")

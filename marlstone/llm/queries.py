@@ -141,5 +141,32 @@ from k left join m using (n) left join listed on k.key = listed.key
 """
 
 
+_MIXING = r"""
+with r as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+    ('0x' || substr(sha256(concat_ws(':', '11', doc_id::varchar, coalesce(text, ''))), 1, 15))::bigint as h from documents),
+per as (select source, sum(size)::bigint as source_size from r group by source),
+w as (select *, source_size * 3.0::double as most,
+    list_extract([1.0::double, 2.0, 3.0], ((row_number() over (order by source nulls last) - 1) % 3 + 1)::integer) as weight,
+    row_number() over (order by source nulls last) as place from per),
+lv as (select *, (sum(source_size) over () - coalesce(sum(most) over o, 0)) / (sum(weight) over () - coalesce(sum(weight) over o, 0)) as level
+  from w window o as (order by most / weight, place rows between unbounded preceding and 1 preceding)),
+fin as (select arg_min(level, row(most / weight, place)) as final from lv where level * weight <= most),
+tg as (select source, source_size, case when source_size > 0 then least(most, coalesce(final, 'inf'::double) * weight) else 0 end as target from lv cross join fin),
+q as (select r.doc_id, r.source, r.h, r.size, source_size, target,
+    (sum(size) over (partition by r.source order by h, doc_id nulls first rows unbounded preceding))::bigint as upto
+  from r join tg on r.source is not distinct from tg.source where size > 0),
+c as (select *, (round * source_size + upto) / target as finish from q cross join (values (0), (1), (2)) t(round)),
+s as (select *, sum(size) over (order by finish, source nulls first, h, doc_id nulls first, round rows unbounded preceding) as run
+  from c where finish - size / (2 * target) <= 1.0),
+taken as (select doc_id, source, h, sum(size)::bigint as all_taken from s
+  where run - size / 2 <= (select sum(source_size) from per) group by doc_id, source, h),
+e as (select *, row_number() over (partition by doc_id, source, h) as copy, count(*) over (partition by doc_id, source, h) as copies from r),
+f as (select e.*, coalesce(all_taken, 0) // greatest(size, 1) as times from e left join taken t
+  on e.doc_id is not distinct from t.doc_id and e.source is not distinct from t.source and e.h = t.h)
+select f.doc_id, f.size, tg.source_size, tg.target, ((times // copies + (copy <= times % copies)::bigint) * size)::bigint as taken
+from f join tg on f.source is not distinct from tg.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": _EXACT, "op7_warc_archive": _ARCHIVE, "op10_url_filter": _URLS}
+    return {"op8_mixing": _MIXING, "op3_exact_dedup": _EXACT, "op7_warc_archive": _ARCHIVE, "op10_url_filter": _URLS}
