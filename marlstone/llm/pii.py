@@ -1,11 +1,13 @@
 """Operator 4 (DataFrame functions only): personal data and the terms that give it away.
 
 Base spans are e-mail addresses, IPv4 addresses, card numbers and phone numbers by pattern and checksum. The method adds
-spans: a term (a word of a document with a protected value) discloses the value as strongly as knowing the term makes the value
-likelier, PMI(term; value) = ln(n_both * N / (n_term * n_value)), relative to the value's own information
-IC(value) = ln(N / n_value). Both are estimated by counting documents over the whole corpus. A term whose ratio
-PMI / IC reaches ``disclosure`` is generalised wherever it stands in documents with the value, if at least ``least_texts``
-different texts hold both (one text, or copies of one, are no evidence of a link).
+spans. Each base span protects entities from narrow to wide: the value itself, what it has in common with its like (an
+address's domain, an IPv4 address's first two parts, a card's first six digits, a phone number without its last four)
+and its kind. A term (a word of a document with a protected entity) discloses the entity as strongly as knowing the term
+makes the entity likelier, PMI(term; entity) = ln(n_both * N / (n_term * n_entity)), relative to the entity's own
+information IC(entity) = ln(N / n_entity). All are numbers of whole documents of the corpus. A term whose ratio PMI / IC
+reaches ``disclosure`` is generalised wherever it stands in documents with the entity, if at least ``least_texts``
+different texts hold both (one text, or copies of one, are no evidence of a link, and two may meet by chance).
 
 Edge cases: null text counts as empty and has no span; repeated rows get the same spans; a null ``doc_id`` is kept; an
 empty table gives no row; further columns are ignored. Offsets count code points, ends are exclusive.
@@ -118,13 +120,25 @@ def occurrences(texts: DataFrame) -> DataFrame:
     return rows.select("key", F.lower("v").alias("term"), (F.col("end") - F.length("v")).alias("start"), "end").join(texts.select("key", "spans"), "key")
 
 
+def entities(span: Column) -> Column:
+    """What a base span protects, from narrow to wide, as three strings."""
+    value, kind = F.lower(span["value"]), span["kind"]
+    digits = _digits(value)
+    whole = F.when(kind < 2, value).otherwise(digits)
+    like = (
+        F.when(kind == 0, F.substring_index(value, "@", -1)).when(kind == 1, F.substring_index(value, ".", 2))
+        .when(kind == 2, F.substring(digits, 1, 6)).otherwise(F.substring(digits, F.lit(1), F.length(digits) - 4))
+    )
+    return F.array(F.concat_ws("=", kind, whole), F.concat_ws("~", kind, like), kind.cast("string"))
+
+
 def disclosing_terms(found: DataFrame, docs: DataFrame, disclosure: float, least_texts: int) -> DataFrame:
-    """(key, start, end) of the terms that disclose a protected value of their text.
+    """(key, start, end) of the terms that disclose a protected entity of their text.
 
-    ``found``: key (of a distinct text), copies (its documents), text, spans. Values that fewer than ``least_texts`` texts
-    hold have no pair that counts, so words are paired with the other ones only.
+    ``found``: key (of a distinct text), copies (its documents), text, spans. Entities that fewer than ``least_texts``
+    texts hold have no pair that counts, so words are paired with the other ones only.
     """
-    value = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"])))
+    value = F.flatten(F.transform("spans", entities))
     held = written(found.select("key", "copies", F.explode(F.array_distinct(value)).alias("value")), "values-held")
     values = held.groupBy("value").agg(F.sum("copies").alias("n_value"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= least_texts)
     values = written(values.select("value", "n_value"), "values")
@@ -150,7 +164,7 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, disclosure: float, least
     return spots.where(clear).select("key", "start", "end").distinct()
 
 
-def text_spans(docs: DataFrame, disclosure: float = 0.9, least_texts: int = 2) -> DataFrame:
+def text_spans(docs: DataFrame, disclosure: float = 0.9, least_texts: int = 3) -> DataFrame:
     """One row per row of ``docs``: doc_id, base and spans (arrays of kind name, start, end)."""
     text = F.coalesce("text", F.lit(""))
     first = docs.select("doc_id", F.sha2(text, 256).alias("key"), base_spans(text).alias("spans"), text.alias("text"))

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.llm import archive, dartminhash, exact, mixing, packing, pii, quality, queries, repair, rpforest, urls
+from marlstone.llm.common import byte_hasher, mix64
 from marlstone.llm.components import components
 from marlstone.llm.encoding import WordCachedEncoder
 
@@ -360,9 +361,92 @@ def test_terms_that_disclose_are_generalised(spark):
             assert (text[s.start : s.end] == "jo@acme.org") == (s.name == "email")
 
 
+def disclosed(rows, base, disclosure, least):
+    """Spans of disclosing terms by counting every pair in plain loops: doc -> set of (start, end)."""
+    import math
+
+    import regex
+
+    words = {d: {(m.start(), m.end(), m.group().lower()) for m in regex.finditer(r"\p{L}{3,}", t)} for d, t in rows.items()}
+    told = {}
+    for d, spans in base.items():
+        told[d] = set()
+        for kind, a, b in spans:
+            v = rows[d][a:b].lower()
+            digits = re.sub("[^0-9]", "", v)
+            like = {"email": v.split("@")[-1], "ip": ".".join(v.split(".")[:2]), "card": digits[:6], "phone": digits[:-4]}[kind]
+            told[d] |= {(kind, "all", v if kind in ("email", "ip") else digits), (kind, "like", like), (kind,)}
+    holds = {e: {d for d in told if e in told[d]} for e in set().union(*told.values(), set())}
+    has = {}
+    for d, found in words.items():
+        for _, _, w in found:
+            has.setdefault(w, set()).add(d)
+    out = {}
+    for e, docs in holds.items():
+        for w in {w for d in docs for _, _, w in words[d]}:
+            both = docs & has[w]
+            if len({rows[d] for d in both}) < least or len(docs) == len(rows):
+                continue
+            pmi = math.log(len(both) * len(rows) / len(has[w]) / len(docs))
+            if pmi >= disclosure * math.log(len(rows) / len(docs)) - 1e-12:
+                for d in both:
+                    spots = {(a, b) for a, b, x in words[d] if x == w and not any(s < b and t > a for _, s, t in base[d])}
+                    out.setdefault(d, set()).update(spots)
+    return {d: s for d, s in out.items() if s}
+
+
+def test_term_spans_equal_counts_of_all_pairs(spark):
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 3))
+    value = [lambda: f"{word()}@{rng.choice(['one', 'two'])}.org", lambda: f"10.{rng.integers(3)}.{rng.integers(9)}.7", lambda: f"+1 (55{rng.integers(3)}) 555-{rng.integers(1000, 1009)}", lambda: "4111 1111 1111 1111"]
+    made = []
+    for i in range(240):
+        parts = [word() for _ in range(int(rng.integers(3, 30)))]
+        for _ in range(int(rng.integers(0, 3)) if i % 3 == 0 else 0):
+            parts.insert(int(rng.integers(len(parts))), value[int(rng.integers(4))]())
+        made.append(" ".join(parts))
+    made += made[:30]  # copies: documents, but no further texts
+    tables = [spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"), small(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")]
+    for docs, disclosure in zip(tables, (0.3, 0.9)):
+        rows = {r.doc_id: r.text or "" for r in docs.collect()}
+        got = pii.text_spans(docs, disclosure).collect()
+        base = {r.doc_id: [(s.name, s.start, s.end) for s in r.base] for r in got}
+        terms = {r.doc_id: {(s.start, s.end) for s in r.spans if s.name == pii.TERM} for r in got}
+        want = disclosed(rows, {d: b for d, b in base.items() if b}, disclosure, 3)
+        assert {d: s for d, s in terms.items() if s} == want and len(want) > 3
+
+
 # ---- 5: quality ------------------------------------------------------------------------------------------------------
 
 
+def test_scores_equal_one_document_at_a_time(spark):
+    """Scores from the folded model against features listed and averaged one by one."""
+    rng = np.random.default_rng(3)
+    logit, offset = rng.normal(size=quality.BUCKETS).astype(np.float32), 0.25
+    word = lambda raw: int(byte_hasher()(np.frombuffer(raw + b" ", dtype=np.uint8), np.array([0]), np.array([len(raw)]))[0])
+    texts = [r.text or "" for r in odd_documents(spark).collect() if len(r.text or "") < 500]
+
+    def plain(text):
+        data = text.encode()
+        words = [w for w in re.split(rb"[\x20\x09-\x0D]+", data) if w]
+        found = [word(w) % quality.WORD_BUCKETS for w in words] + [quality.AGAIN for a, b in zip(words, words[1:]) if a == b]
+        spaced = re.sub(rb"[\x20\x09-\x0D]", b" ", data + b" ")
+        for n in quality.GRAMS:
+            for i in range(len(spaced) - n + 1):
+                gram = spaced[i : i + n]
+                if b" " in gram[1:-1]:
+                    continue
+                h = n
+                for b in gram:
+                    h = (h * 0x100000001B3 + b) % (1 << 64)
+                found.append(quality.WORD_BUCKETS + int(mix64(np.array([h], dtype=np.uint64))[0]) % quality.GRAM_BUCKETS)
+        z = float(np.mean([logit[k] for k in found])) + offset if found else offset
+        return 1 / (1 + np.exp(-z))
+
+    got = quality.score_texts(texts, logit, offset)
+    assert np.allclose(got, [plain(t) for t in texts], rtol=1e-6) and len(set(np.round(got, 6))) > 5
+
+
 def test_classifier_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = small(spark, sf, "documents"), small(spark, sf, "labels")
