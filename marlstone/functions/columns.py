@@ -28,6 +28,11 @@ def shielded(operator):
     return run
 
 
+def beside(df: DataFrame, one: DataFrame) -> DataFrame:
+    """``df`` with the columns of a table of one row, joined on a constant key and broadcast."""
+    return df.withColumn("_k", F.lit(1)).join(F.broadcast(one.withColumn("_k", F.lit(1))), "_k").drop("_k")
+
+
 def c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
-from ..functions.columns import by_ticker, shielded
+from ..functions.columns import beside, by_ticker, shielded
 from ..session import materialise
 from .features import daily_vol
 
@@ -124,7 +124,7 @@ def sample_weights(labeled: DataFrame, mode: str = "return_attr", decay: float |
         raw = "_d"
     df = materialise(df.withColumn("_w", F.coalesce(raw, F.lit(0.0))), "raw-weights")  # read twice: for the mean and the result
     mean = df.agg(F.avg(F.when(F.col("_w") > 0, F.col("_w"))).alias("_mean"))
-    out = df.join(F.broadcast(mean))  # one row
+    out = beside(df, mean)
     return out.withColumn("w", F.when(F.col("_mean") > 0, F.col("_w") / F.col("_mean")).otherwise(F.col("_w"))).drop("_w", "_mean", "_d")
 
 

@@ -1,150 +1,191 @@
-"""Learned scores under purged cross-validation, and the two procedures that need a loop within a ticker."""
+"""Learned scores under purged cross-validation, and the two procedures that need a loop within a ticker.
+
+A scorer is a :class:`~marlstone.operators.boosting.Boosted` description, whose models of all splits are fitted together,
+or a function (train, test) -> test with column ``score``, called for each split: a pretrained in-context model, say.
+Evaluation handles all splits in one plan. Tables without rows, splits without both labels in training, and dates with
+too few names give no result rows and no error.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
+from ..functions.columns import beside
 from ..session import materialise
-from . import stats
+from . import boosting, stats, trials
 from .book import book, costed, costed_backtest, long_short_sensor, sized_long_short
+from .boosting import Boosted
 from .features import ffd_weights
 from .panel import complete_cases
-from .validation import meta_split, roles
+from .validation import effective_n, split_numbers, split_roles, temporal_split
 
 #: (train, test) -> test with column score
 Scorer = Callable[[DataFrame, DataFrame], DataFrame]
+BY = ("split_id",)
 
 
-def gbt_scorer(features: tuple[str, ...], label: str = "label", weight: str | None = None, trees: int = 20, depth: int = 4) -> Scorer:
-    """Boosted trees of Spark ML; its probability of class 1 is the score."""
-    pack = VectorAssembler(inputCols=list(features), outputCol="_x")
-
-    def score(train: DataFrame, test: DataFrame) -> DataFrame:
-        extra = {"weightCol": weight} if weight else {}
-        model = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=DEFAULT.seed, **extra)
-        got = model.fit(pack.transform(train)).transform(pack.transform(test))
-        return got.withColumn("score", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
-
-    return score
-
-
-def pointwise_ranker(features: tuple[str, ...], target: str = "relevance", trees: int = 20, depth: int = 4) -> Scorer:
-    """Regression on relevance buckets: the stand-in for a listwise ranker, which Spark ML lacks."""
-    pack = VectorAssembler(inputCols=list(features), outputCol="_x")
-
-    def score(train: DataFrame, test: DataFrame) -> DataFrame:
-        model = GBTRegressor(featuresCol="_x", labelCol=target, maxIter=trees, maxDepth=depth, seed=DEFAULT.seed).fit(pack.transform(train))
-        return model.transform(pack.transform(test)).withColumnRenamed("prediction", "score").drop("_x")
-
-    return score
+def _exploded(tagged: DataFrame, column: str) -> DataFrame:
+    """Rows once for each split in ``column``, with its number as split_id."""
+    return tagged.withColumn("split_id", F.explode(column)).drop("train_in", "test_in")
 
 
-def _each_split(tagged: DataFrame, one: Callable[[int, DataFrame, DataFrame], DataFrame | None], splits: int | None = None, at_once: int = 4) -> DataFrame | None:
-    """Union of ``one`` (split_id, train, test) over the splits, each result written; ``at_once`` run side by side."""
-    ids = sorted(r[0] for r in tagged.select("split_id").distinct().collect())[:splits]
+def split_scores(data: DataFrame, scorer: Boosted | Scorer, at_once: int = 4, **how) -> DataFrame:
+    """Test rows of every split with split_id and score, written once."""
+    tagged = materialise(split_roles(data, **how), "roles")
+    test = _exploded(tagged, "test_in")
+    numbers = split_numbers(**{k: v for k, v in how.items() if k in ("groups", "test")})
+    if isinstance(scorer, Boosted):
+        forest = boosting.fit(tagged.withColumnRenamed("train_in", "member"), scorer, numbers)
+        return materialise(boosting.scored(forest, test), "scored")
 
-    def run(i):
-        mine = tagged.where(F.col("split_id") == i)
-        got = one(i, mine.where("role = 'train'"), mine.where("role = 'test'"))
-        return None if got is None else materialise(got, "split")
+    def run(i: int) -> DataFrame | None:
+        train = tagged.where(F.array_contains("train_in", i)).drop("train_in", "test_in")
+        if train.select("label").distinct().count() < 2:
+            return None
+        return materialise(scorer(train, test.where(F.col("split_id") == i)), "split")
 
     with ThreadPoolExecutor(at_once) as pool:
-        found = list(pool.map(inheritable_thread_target(tagged.sparkSession)(run), ids))
-    out = None
-    for got in found:
-        if got is not None:
-            out = got if out is None else out.unionByName(got)
-    return out
-
-
-def _two_labels(df: DataFrame) -> bool:
-    return df.select("label").distinct().count() >= 2
-
-
-def cross_validated(data: DataFrame, scorer: Scorer, splits: int | None = None, **how) -> DataFrame:
-    """Scored test rows of every split (split_id, score, ...)."""
+        found = [x for x in pool.map(inheritable_thread_target(tagged.sparkSession)(run), numbers) if x is not None]
+    out = test.withColumn("score", F.lit(None).cast("double")).where("false")
+    for x in found:
+        out = out.unionByName(x.select(*out.columns))
+    return materialise(out, "scored")
 
-    def one(i, train, test):
-        return scorer(train, test) if _two_labels(train) else None
 
-    return _each_split(materialise(roles(data, **how), "roles"), one, splits)
+def split_results(scored: DataFrame, adv: DataFrame, **costs) -> DataFrame:
+    """(split_id, auc, n, sharpe of the sensor, gross and net Sharpe of the costed book, rebalances) of scored test rows.
 
+    Splits whose test rows hold one label only have no result, as in training.
+    """
+    both = scored.groupBy(*BY).agg(F.count_distinct("label").alias("kinds")).where("kinds > 1").select(*BY)
+    scored = scored.join(F.broadcast(both), list(BY), "left_semi")  # one row a split
+    sensor = long_short_sensor(scored, by=BY).groupBy(*BY).agg(stats.sharpe("ls").alias("sharpe"))
+    net = costed_backtest(scored, adv, by=BY, **costs).groupBy(*BY)
+    net = net.agg(stats.sharpe("gross").alias("sharpe_gross"), stats.sharpe("net").alias("sharpe_net"), F.count("net").alias("rebalances"))
+    return stats.auc(scored, "score", "label", *BY).join(sensor, list(BY), "left").join(net, list(BY), "left")
 
-def evaluate(data: DataFrame, scorer: Scorer, adv: DataFrame, splits: int | None = None, **how) -> DataFrame:
-    """(split_id, auc, sharpe of the sensor, gross and net Sharpe of the costed book) for every split."""
 
-    def one(i, train, test):
-        if not _two_labels(train):
-            return None
-        scored = materialise(scorer(train, test), "scored")
-        sensor = long_short_sensor(scored).agg(stats.sharpe("ls").alias("sharpe"))
-        net = costed_backtest(scored, adv).agg(stats.sharpe("gross").alias("sharpe_gross"), stats.sharpe("net").alias("sharpe_net"), F.count("net").alias("rebalances"))
-        both = sensor.withColumn("split_id", F.lit(i)).join(net.withColumn("split_id", F.lit(i)), "split_id")
-        return stats.auc(scored, "score", "label", "split_id").join(both, "split_id")
+def evaluate(data: DataFrame, scorer: Boosted | Scorer, adv: DataFrame, costs: dict | None = None, **how) -> DataFrame:
+    """:func:`split_results` of every purged split."""
+    return split_results(split_scores(data, scorer, **how), adv, **(costs or {}))
 
-    return _each_split(materialise(roles(data, **how), "roles"), one, splits)
 
+def evaluation(scored: DataFrame, results: DataFrame, log: DataFrame, name: str, horizon: int = DEFAULT.horizon) -> tuple[DataFrame, DataFrame]:
+    """(one row that sums up all splits, the trials log with this run).
 
-def ablation(data: DataFrame, sets: dict[str, tuple[str, ...]], adv: DataFrame, splits: int | None = None, weight: str | None = None) -> DataFrame:
-    """Mean results for each named feature set."""
+    Mean, deviation, extremes of the AUC and its share above one half; mean Sharpe and its spread over paths; pooled
+    skewness and kurtosis of the sensor's returns; the deflated Sharpe ratio against all trials, with the number of
+    distinct test dates over the horizon as its sample size: pooled returns repeat each date in several splits.
+    """
+    log = trials.seed(log, log.sparkSession.createDataFrame(trials.SEEDS, trials.SCHEMA))
+    results = materialise(results, "results")
+    run = results.agg(F.lit(name).alias("name"), F.avg("sharpe").alias("sharpe")).where("sharpe is not null")
+    log = materialise(trials.append(log, run), "trials")
+    pooled = long_short_sensor(scored, by=BY).join(F.broadcast(results.where("sharpe is not null").select(*BY)), list(BY), "left_semi")
+    pooled = materialise(pooled, "pooled")
+    seen = scored.join(F.broadcast(results.where("sharpe is not null").select(*BY)), list(BY), "left_semi")
+    shape = pooled.agg(F.coalesce(stats.skew("ls"), F.lit(0.0)).alias("skew"), F.coalesce(stats.kurt("ls") + 3, F.lit(3.0)).alias("kurt"))
+    n = seen.agg(F.count_distinct("date").alias("dates")).select(F.when(F.col("dates") > 0, F.greatest(F.floor(F.col("dates") / horizon), F.lit(1))).otherwise(F.lit(0)).cast("long").alias("n_eff"))
+    out = results.agg(
+        F.avg("auc").alias("auc"), F.stddev_pop("auc").alias("auc_std"), F.min("auc").alias("auc_low"), F.max("auc").alias("auc_high"),
+        F.avg((F.col("auc") > 0.5).cast("double")).alias("above_half"), F.avg("sharpe").alias("sharpe"), F.stddev_pop("sharpe").alias("sharpe_std"),
+        F.avg("sharpe_gross").alias("sharpe_gross"), F.avg("sharpe_net").alias("sharpe_net"), F.count("auc").alias("splits"),
+    )
+    out = beside(beside(beside(out, shape), n), log.agg(F.count(F.lit(1)).alias("trials")))
+    out = out.withColumn("nd", F.when(F.col("n_eff") >= 2, F.col("n_eff").cast("double")))
+    out = stats.probabilistic_sharpe(out, "sharpe", "nd", skew="skew", kurt="kurt")
+    out = stats.deflated_sharpe(out, log, "sharpe", "nd", skew="skew", kurt="kurt").drop("nd")
+    return out.withColumn("config", F.lit(name)), log
+
+
+def ablation(data: DataFrame, sets: dict[str, tuple[str, ...]], adv: DataFrame, log: DataFrame, spec: Boosted, **how) -> tuple[DataFrame, DataFrame]:
+    """(:func:`evaluation` of each named feature set, the log with all of them as trials).
+
+    Each set has its own complete rows and so its own splits; the models of all sets and splits are fitted in the same
+    passes. Sets are logged in order, each deflated by those before it, as when they are run one after the other.
+    """
+    features = tuple(dict.fromkeys(f for columns in sets.values() for f in columns))
+    numbers = split_numbers(**{k: v for k, v in how.items() if k in ("groups", "test")})
+    n, teach, only, tests = len(numbers), None, {}, {}
+    for i, (name, columns) in enumerate(sets.items()):
+        tagged = split_roles(complete_cases(data, [*columns, "label", "t1"]), **how)
+        shift = lambda c, i=i: F.transform(c, lambda s: (s + i * n).cast("int"))
+        tagged = materialise(tagged.withColumns({"member": shift("train_in"), "test_in": shift("test_in")}).drop("train_in"), "roles")
+        tests[name] = tagged.drop("member")
+        one = tagged.select("ticker", "date", "member")
+        teach = one if teach is None else teach.unionByName(one)
+        only |= {i * n + s: tuple(features.index(c) for c in columns) for s in numbers}
+    members = teach.groupBy("ticker", "date").agg(F.flatten(F.collect_list("member")).alias("member"))
+    known = materialise(data.where("label is not null").join(members, ["ticker", "date"]), "taught")
+    forest = boosting.fit(known, replace(spec, features=features), list(range(n * len(sets))), only)
     out = None
-    for name, columns in sets.items():
-        rows = evaluate(complete_cases(data, [*columns, "label", "t1"]), gbt_scorer(columns, weight=weight), adv, splits)
-        one = rows.agg(F.avg("auc").alias("auc"), F.avg("sharpe").alias("sharpe"), F.avg("sharpe_net").alias("sharpe_net"), F.count(F.lit(1)).alias("splits"))
-        one = one.withColumn("config", F.lit(name))
+    for i, (name, columns) in enumerate(sets.items()):
+        test = _exploded(tests[name], "test_in")
+        scored = materialise(boosting.scored(forest, test).withColumn("split_id", F.col("split_id") - i * n), "scored")
+        results = split_results(scored, adv, capital=2e6, half_spread=5.0)
+        one, log = evaluation(scored, results, log, f"abl_{name}")
+        one = materialise(one.withColumns({"config": F.lit(name), "features": F.lit(len(columns))}), "ablation")
         out = one if out is None else out.unionByName(one)
-    return out
-
-
-def meta_labelled(data: DataFrame, features: tuple[str, ...], splits: int | None = None, least: int = 200) -> DataFrame:
-    """(split_id, flat and meta Sharpe): a second model sizes the first one's side by how sure it is to be right."""
-    primary, second = gbt_scorer(features), gbt_scorer(features, "correct")
+    return out, log
 
-    def one(i, train, test):
-        test, inner = test.drop("role"), meta_split(train.drop("role"))
-        first, later = inner.where("role = 'primary'"), inner.where("role = 'meta'")
-        if not _two_labels(first) or later.count() < least:
-            return None
-        right = ((F.col("score") >= 0.5).cast("int") == F.col("label")).cast("int")
-        taught = materialise(primary(first, later).withColumn("correct", right).drop("score"), "taught")
-        if taught.select("correct").distinct().count() < 2:
-            return None
-        side = primary(first, test).withColumnRenamed("score", "p")
-        sized = materialise(second(taught, side.withColumn("correct", F.lit(0))), "sized")
-        signed = F.when(F.col("p") >= 0.5, 1.0).otherwise(-1.0)
-        sized = sized.withColumns({"flat": signed, "meta": signed * F.col("score")})
-        flat = sized_long_short(sized, "flat").agg(stats.sharpe("ls").alias("sharpe_flat"))
-        meta = sized_long_short(sized, "meta").agg(stats.sharpe("ls").alias("sharpe_meta"))
-        return flat.withColumn("split_id", F.lit(i)).join(meta.withColumn("split_id", F.lit(i)), "split_id")
-
-    return _each_split(materialise(roles(data), "roles"), one, splits)
 
+def single_split(data: DataFrame, spec: Boosted, top: int = 8) -> tuple[DataFrame, dict[str, float]]:
+    """(auc, n, accuracy, base_rate of one purged cut in time; the ``top`` features by their share of the gain)."""
+    tagged = materialise(temporal_split(data), "cut")
+    member = F.when(F.col("role") == "train", F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    forest = boosting.fit(tagged.withColumn("member", member), spec, [0])
+    test = materialise(boosting.scored(forest, tagged.where("role = 'test'").withColumn("split_id", F.lit(0))), "scored")
+    return beside(stats.auc(test), stats.accuracy(test)), dict(list(forest.importances().items())[:top]) if forest.models else {}
 
-def ranked(quarterly: DataFrame, features: tuple[str, ...], adv: DataFrame, splits: int | None = None, embargo: int = 1, least: int = 12) -> DataFrame:
-    """(split_id, ic, net Sharpe) of a ranker on rebalance dates; the embargo counts rebalances."""
-    scorer = pointwise_ranker(features)
 
-    def one(i, train, test):
-        if not train.limit(1).count():
-            return None
-        scored = materialise(scorer(stats.relevance(train, "fwd_ret"), test), "scored")
-        ic = stats.rank_ic(scored, "score", "fwd_ret", least).agg(F.avg("ic").alias("ic"))
-        net = costed(book(scored, 1 / 3, 2 / 3, least), adv, 2e6, 5.0).agg(stats.sharpe("net").alias("sharpe_net"), F.avg("turnover").alias("turnover"))
-        return ic.withColumn("split_id", F.lit(i)).join(net.withColumn("split_id", F.lit(i)), "split_id")
+def meta_labelled(data: DataFrame, spec: Boosted, least: int = 200, **how) -> DataFrame:
+    """(split_id, flat and meta Sharpe): a second model sizes the first one's side by how sure it is to be right.
 
-    return _each_split(materialise(roles(quarterly, embargo=embargo), "roles"), one, splits)
+    The first learns from training rows that resolve by the median date of the split's training rows, the second from
+    those that begin after it; splits with fewer than ``least`` of the latter, or with one label, are left out.
+    """
+    tagged = materialise(split_roles(data, **how), "roles")
+    day = lambda c: F.unix_date(c)
+    cuts = _exploded(tagged, "train_in").groupBy(*BY).agg(F.percentile(day("date"), F.lit(0.5)).alias("cut")).collect()  # one row a split
+    cut = {r["split_id"]: r["cut"] for r in cuts}
+    if not cut:
+        return tagged.select(F.lit(0).alias("split_id"), F.lit(0.0).alias("sharpe_flat"), F.lit(0.0).alias("sharpe_meta")).where("false")
+    at = F.create_map(*[x for k, v in cut.items() for x in (F.lit(k), F.lit(float(v)))])
+    first = F.filter("train_in", lambda s: day("t1") <= F.try_element_at(at, s.cast("int")))
+    later = F.filter("train_in", lambda s: day("date") > F.try_element_at(at, s.cast("int")))
+    one = boosting.fit(tagged.withColumn("member", first), spec, sorted(cut))
+    right = ((F.col("score") >= 0.5).cast("int") == F.col("label")).cast("int")
+    taught = boosting.scored(one, _exploded(tagged.withColumn("later", later), "later").drop("later")).withColumn("correct", right)
+    taught = materialise(taught.drop("score").withColumn("member", F.array("split_id")), "taught")
+    enough = [r["split_id"] for r in taught.groupBy(*BY).count().where(F.col("count") >= least).collect()]
+    two = boosting.fit(taught, replace(spec, label="correct", weight=None), sorted(enough))
+    side = boosting.scored(one, _exploded(tagged, "test_in"), name="p")
+    signed = F.when(F.col("p") >= 0.5, 1.0).otherwise(-1.0)
+    sized = materialise(boosting.scored(two, side).withColumns({"flat": signed, "meta": signed * F.col("score")}), "sized")
+    each = lambda c, name: sized_long_short(sized, c, by=BY).groupBy(*BY).agg(stats.sharpe("ls").alias(name))
+    return each("flat", "sharpe_flat").join(each("meta", "sharpe_meta"), list(BY), "full")
+
+
+def ranked(quarterly: DataFrame, features: tuple[str, ...], adv: DataFrame, embargo: int = 1, least: int = 12, **tuning) -> DataFrame:
+    """(split_id, ic, net Sharpe, turnover) of a listwise ranker on rebalance dates; the embargo counts rebalances.
+
+    Relevance is the quintile of the forward return over the whole table; the loss compares the names of one date.
+    """
+    data = materialise(stats.relevance(quarterly, "fwd_ret"), "relevance")
+    spec = Boosted(features, label="relevance", group="date", least=5, **tuning)
+    scored = split_scores(data, spec, embargo=embargo)
+    ic = stats.rank_ic(scored, "score", "fwd_ret", least, BY).groupBy(*BY).agg(F.avg("ic").alias("ic"))
+    net = costed(book(scored, 1 / 3, 2 / 3, least, by=BY), adv, 2e6, 5.0, by=BY).groupBy(*BY)
+    return ic.join(net.agg(stats.sharpe("net").alias("sharpe_net"), F.avg("turnover").alias("turnover")), list(BY), "full")
 
 
 # ---- loops within a ticker ---------------------------------------------------------------------------------------

@@ -28,6 +28,11 @@ def complete_cases(panel: DataFrame, columns: list[str]) -> DataFrame:
     return panel.na.drop(subset=columns)
 
 
+def with_default(left: DataFrame, right: DataFrame, keys: list[str], column: str, default: float) -> DataFrame:
+    """``left`` with ``column`` of ``right`` (one row a key), ``default`` where it has none or null."""
+    return left.join(right.select(*keys, column), keys, "left").fillna({column: default})
+
+
 def with_min_bars(panel: DataFrame, least: int = 300) -> DataFrame:
     """Tickers with at least ``least`` rows, counted before any de-duplication."""
     enough = panel.groupBy("ticker").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("ticker")

@@ -124,12 +124,15 @@ def accuracy(scored: DataFrame, score: str = "score", label: str = "label") -> D
     )
 
 
-def rank_ic(scored: DataFrame, score: str, target: str, least: int = 12) -> DataFrame:
-    """(date, ic): correlation of average ranks on dates with at least ``least`` names."""
+@shielded
+def rank_ic(scored: DataFrame, score: str, target: str, least: int = 12, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, date, ic, n): correlation of average ranks on dates with at least ``least`` names."""
     df = scored.where(F.col(score).isNotNull() & F.col(target).isNotNull())
-    df = df.withColumns({"_a": average_rank(score, "date"), "_b": average_rank(target, "date")})
-    out = df.groupBy("date").agg(F.corr("_a", "_b").alias("ic"), F.count(F.lit(1)).alias("n"))
-    return out.where(F.col("n") >= least).where(F.col("ic").isNotNull() & ~F.isnan("ic"))
+    df = df.withColumns({"_a": average_rank(score, *by, "date"), "_b": average_rank(target, *by, "date")})
+    # not F.corr: it fails where all scores of a date tie
+    ic = F.covar_pop("_a", "_b") / nonzero(F.stddev_pop("_a") * F.stddev_pop("_b"))
+    out = df.groupBy(*by, "date").agg(ic.alias("ic"), F.count(F.lit(1)).alias("n"))
+    return out.where((F.col("n") >= least) & F.col("ic").isNotNull())
 
 
 @shielded

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
+from ..functions.columns import beside, shielded
+from ..session import materialise
 from .panel import trading_dates
 
 
@@ -21,37 +23,52 @@ def n_paths(groups: int = DEFAULT.groups, test: int = DEFAULT.test_groups) -> in
     return comb(groups, test) * test // groups
 
 
-def roles(samples: DataFrame, groups: int = DEFAULT.groups, test: int = DEFAULT.test_groups, embargo: int = DEFAULT.embargo) -> DataFrame:
-    """(split_id, role) for each row of ``samples`` (date, t1): train or test; purged and embargoed rows are left out.
+@shielded
+def split_roles(samples: DataFrame, groups: int = DEFAULT.groups, test: int = DEFAULT.test_groups, embargo: int = DEFAULT.embargo) -> DataFrame:
+    """Adds ``train_in`` and ``test_in``: the numbers of the splits in which a row of ``samples`` (date, t1) has that role.
 
     A row trains unless it lies in a test block, resolves at or after a test block's start having begun by its end, or
     falls within ``embargo`` trading dates after it. Blocks' ranges (one row a block) and combinations are small, so
-    each row is compared with them in one expression instead of being joined for each split.
+    each row is compared with them in one expression instead of being joined for each split. A null ``t1`` purges
+    nothing; rows with a null date go.
     """
-    spark = samples.sparkSession
-    dated = blocks(samples, groups)
+    dated = materialise(blocks(samples, groups), "blocks")  # one row a date
     spans = dated.groupBy("block").agg(F.min("date").alias("b0"), F.max("date").alias("b1"), F.max("pos").alias("p1"))
     last = dated.agg(F.max("pos").alias("p_last"))
     ends = dated.select(F.col("pos").alias("until_pos"), F.col("date").alias("until"))
-    spans = spans.withColumn("_k", F.lit(1)).join(last.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    spans = spans.withColumn("until_pos", F.least(F.col("p1") + embargo, "p_last")).join(ends, "until_pos")
-    packed = spans.agg(F.array_sort(F.collect_list(F.struct("block", "b0", "b1", "until"))).alias("spans")).withColumn("_k", F.lit(1))
-    pairs = list(combinations(range(groups), test))
-    combos = spark.createDataFrame([(i, list(p)) for i, p in enumerate(pairs)], "split_id int, tests array<int>")
-    combos = combos.agg(F.collect_list(F.struct("split_id", "tests")).alias("splits")).withColumn("_k", F.lit(1))
-    rows = samples.join(F.broadcast(dated.select("date", "block")), "date").withColumn("_k", F.lit(1))
-    rows = rows.join(F.broadcast(packed), "_k").join(F.broadcast(combos), "_k").drop("_k")  # one row each
-    rows = rows.withColumn("_s", F.explode("splits")).drop("splits")
-
-    def blocked(b):
-        span = F.element_at("spans", b + 1)
-        purge = F.coalesce((F.col("t1") >= span["b0"]) & (F.col("date") <= span["b1"]), F.lit(False))
-        return purge | ((F.col("date") > span["b1"]) & (F.col("date") <= span["until"]))
-
-    inside = F.array_contains("_s.tests", F.col("block"))
-    role = F.when(inside, "test").when(~F.exists("_s.tests", blocked), "train")
-    out = rows.withColumn("split_id", F.col("_s.split_id")).withColumn("role", role).where("role is not null")
-    return out.drop("_s", "spans", "block")
+    spans = beside(spans, last).withColumn("until_pos", F.least(F.col("p1") + embargo, "p_last")).join(ends, "until_pos")
+    packed = spans.agg(F.array_sort(F.collect_list(F.struct("block", "b0", "b1", "until"))).alias("_spans"))
+    rows = beside(samples.join(F.broadcast(dated.select("date", F.col("block").alias("_block"))), "date"), packed)
+
+    def blocked(b: int):
+        span = F.try_element_at("_spans", F.lit(b + 1))
+        purge = (F.col("t1") >= span["b0"]) & (F.col("date") <= span["b1"])
+        late = (F.col("date") > span["b1"]) & (F.col("date") <= span["until"])
+        return F.coalesce(purge, F.lit(False)) | F.coalesce(late, F.lit(False))
+
+    barred = F.array(*[blocked(b) for b in range(groups)])
+    rows = rows.withColumn("_barred", barred)
+    train, held = [], []
+    for i, pair in enumerate(combinations(range(groups), test)):
+        inside = F.col("_block").isin(*pair)
+        free = ~inside
+        for b in pair:
+            free = free & ~F.col("_barred")[b]
+        train.append(F.when(free, i))
+        held.append(F.when(inside, i))
+    return rows.withColumns({"train_in": F.array_compact(F.array(*train)), "test_in": F.array_compact(F.array(*held))}).drop("_spans", "_block", "_barred")
+
+
+def split_numbers(groups: int = DEFAULT.groups, test: int = DEFAULT.test_groups) -> list[int]:
+    return list(range(comb(groups, test)))
+
+
+def roles(samples: DataFrame, **how) -> DataFrame:
+    """(split_id, role) for each row of ``samples`` (see :func:`split_roles`): train or test, other rows are left out."""
+    tagged = split_roles(samples, **how)
+    each = lambda c, role: F.transform(c, lambda s: F.struct(s.cast("int").alias("split_id"), F.lit(role).alias("role")))
+    both = F.concat(each("train_in", "train"), each("test_in", "test"))
+    return tagged.withColumn("_s", F.explode(both)).select(*samples.columns, "_s.split_id", "_s.role")
 
 
 def temporal_split(samples: DataFrame, test_fraction: float = DEFAULT.test_fraction, embargo: int = DEFAULT.embargo) -> DataFrame:

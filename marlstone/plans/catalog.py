@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import at_most, impact_bps, net_of_costs, round_trip_bps
+from ..functions.columns import at_most, beside, impact_bps, net_of_costs, round_trip_bps
 from ..functions.normal import lit
 from ..operators import book as books
 from ..operators import features as fx
 from ..operators import labels as lb
 from ..operators import models, panel, stats, trials, validation
+from ..operators.boosting import Boosted
 from ..session import materialise
 from ..sources import readers
 from . import derived as d
@@ -372,46 +373,107 @@ def event_props(spark, sf_dir):
     return e.select("event_id", F.from_json("props", "k int")["k"].cast("long").alias("k"))
 
 
+# ---- cross-validated evaluation --------------------------------------------------------------------------------------
+
+
+def _by_momentum(train, test):
+    """A scorer that learns nothing: its results have SQL."""
+    return test.withColumn("score", F.col("mom_21_rank"))
+
+
+def _evaluated(spark, sf_dir):
+    data = materialise(labeled_score(spark, sf_dir).withColumnRenamed("score", "mom_21_rank").select("ticker", "date", "t1", "label", "fwd_ret", "mom_21_rank"), "evaluated")
+    return models.split_scores(data, _by_momentum)
+
+
+@query
+def cpcv_results(spark, sf_dir):
+    adv = materialise(books.median_adv(d.bars(spark, sf_dir)), "adv")
+    out = models.split_results(_evaluated(spark, sf_dir), adv).withColumn("split_id", F.col("split_id").cast("long"))
+    return rounded(out, "split_id", "auc", "n", "sharpe", "sharpe_gross", "sharpe_net", "rebalances")
+
+
+@query
+def cpcv_evaluation(spark, sf_dir):
+    scored = _evaluated(spark, sf_dir)
+    results = models.split_results(scored, materialise(books.median_adv(d.bars(spark, sf_dir)), "adv"))
+    out, _ = models.evaluation(scored, results, spark.createDataFrame([], trials.SCHEMA), "momentum")
+    return rounded(out, "config", "auc", "auc_std", "auc_low", "auc_high", "above_half", "sharpe", "sharpe_std", "sharpe_gross", "sharpe_net", "splits", "skew", "kurt", "n_eff", "trials", "dsr")
+
+
+@query
+def tilt_summary(spark, sf_dir):
+    got = materialise(books.fundamental_tilt(d.bars(spark, sf_dir), d.fundamentals(spark, sf_dir)), "tilt")
+    run = got.agg(F.lit("fundamental_tilt_quarterly").alias("name"), stats.sharpe("net").alias("sharpe")).where("sharpe is not null")
+    log = trials.append(spark.createDataFrame(trials.SEEDS, trials.SCHEMA), run)
+    return rounded(books.tilt_summary(got, log), "rebalances", "sharpe_gross", "sharpe_net", "annualised", "psr", "dsr", "success")
+
+
 # ---- models (no SQL) ---------------------------------------------------------------------------------------------------
 
 
+def _weighted(spark, sf_dir):
+    """Labels and, joined on (ticker, date), their uniqueness weights; a row without a weight counts 0."""
+    labeled = materialise(lb.triple_barrier(d.bars(spark, sf_dir)), "labeled")
+    w = lb.sample_weights(labeled, "uniqueness").select("ticker", "date", "w")
+    return materialise(panel.with_default(labeled, w, ["ticker", "date"], "w", 0.0), "weighted")
+
+
 def _model_data(spark, sf_dir, columns):
-    m = lb.sample_weights(lb.triple_barrier(d.bars(spark, sf_dir)), "uniqueness")
-    keep = ["ticker", "date", "t1", "label", "fwd_ret", "w"]
-    rows = materialise(fx.with_ranks(fx.price_features(materialise(m, "weighted")), fx.PRICE).select(*keep, *columns), "features")
+    rows = fx.with_ranks(fx.price_features(_weighted(spark, sf_dir)), fx.PRICE)
+    rows = materialise(rows.select("ticker", "date", "t1", "label", "fwd_ret", "w", *columns), "features")
     return materialise(panel.complete_cases(rows, [*columns, "label", "t1"]), "model-data")
 
 
 @query
 def gbt_cpcv(spark, sf_dir):
     cols = fx.feature_set("price")
-    return models.evaluate(_model_data(spark, sf_dir, cols), models.gbt_scorer(cols, weight="w"), materialise(books.median_adv(d.bars(spark, sf_dir)), "adv"))
+    return models.evaluate(_model_data(spark, sf_dir, cols), Boosted(cols, weight="w"), materialise(books.median_adv(d.bars(spark, sf_dir)), "adv"))
+
+
+@query
+def single_split(spark, sf_dir):
+    cols = fx.PRICE
+    result, gains = models.single_split(_model_data(spark, sf_dir, cols), Boosted(cols))
+    top = spark.createDataFrame([(i + 1, f, g) for i, (f, g) in enumerate(gains.items())], "place int, feature string, gain double")
+    return beside(top, result)
 
 
 @query
 def meta_sizing(spark, sf_dir):
     cols = fx.feature_set("price")
-    return models.meta_labelled(_model_data(spark, sf_dir, cols), cols)
+    return models.meta_labelled(_model_data(spark, sf_dir, cols), Boosted(cols))
 
 
 @query
 def ablation(spark, sf_dir):
     sets = {name: fx.feature_set(name) for name in fx.FEATURE_SETS}
-    weighted = materialise(lb.sample_weights(lb.triple_barrier(d.bars(spark, sf_dir)), "uniqueness"), "weighted")
-    m = fx.feature_matrix(weighted, d.fundamentals(spark, sf_dir))
+    m = fx.feature_matrix(_weighted(spark, sf_dir), d.fundamentals(spark, sf_dir))
     data = materialise(m.select("ticker", "date", "t1", "label", "fwd_ret", "w", *sets["all"]), "model-data")
-    return models.ablation(data, sets, materialise(books.median_adv(d.bars(spark, sf_dir)), "adv"), weight="w")
+    adv = materialise(books.median_adv(d.bars(spark, sf_dir)), "adv")
+    return models.ablation(data, sets, adv, spark.createDataFrame([], trials.SCHEMA), Boosted((), weight="w"))[0]
+
+
+def _quarterly(spark, sf_dir):
+    """Complete rows of rebalance dates: the ranker's columns, the return to the next rebalance, and t1, the row's own
+    date, as a holding resolves at the next rebalance and the embargo covers it."""
+    f = fx.fundamental_features(d.bars(spark, sf_dir), d.fundamentals(spark, sf_dir))
+    f = fx.with_ranks(fx.price_features(f, ("mom_21", "vol_21")), ("mom_21", "vol_21"))
+    cols = ("mom_21", "mom_21_rank", "vol_21", "vol_21_rank", *fx.FUNDAMENTAL)
+    q = panel.complete_cases(books.on_stride(lb.forward_return(f, 63, "fwd_ret"), 63), [*cols, "fwd_ret"])
+    return q.select("ticker", "date", F.col("date").alias("t1"), "fwd_ret", *cols), cols
+
+
+@query
+def quarterly_panel(spark, sf_dir):
+    q, cols = _quarterly(spark, sf_dir)
+    return rounded(q, "ticker", "date", "fwd_ret", *cols)
 
 
 @query
 def ranker(spark, sf_dir):
-    cols = ("mom_21_rank", "vol_21_rank", "earnings_yield", "book_to_price")
-    f = fx.fundamental_features(d.bars(spark, sf_dir), d.fundamentals(spark, sf_dir))
-    f = lb.forward_return(fx.with_ranks(fx.price_features(f, ("mom_21", "vol_21")), ("mom_21", "vol_21")), 63, "fwd_ret")
-    q = panel.complete_cases(books.on_stride(f, 63), [*cols, "fwd_ret"])
-    q = q.withColumn("t1", F.lead("date").over(Window.partitionBy("ticker").orderBy("date"))).withColumn("t1", F.coalesce("t1", "date"))
-    q = materialise(q.select("ticker", "date", "t1", "fwd_ret", *cols), "ranker-data")
-    return models.ranked(q, cols, materialise(books.median_adv(d.bars(spark, sf_dir)), "adv"))
+    q, cols = _quarterly(spark, sf_dir)
+    return models.ranked(materialise(q, "ranker-data"), cols, materialise(books.median_adv(d.bars(spark, sf_dir)), "adv"))
 
 
 @query

@@ -163,6 +163,28 @@ ROLES = f"""{BASE}, {LABELS}, s as (select ticker, date, t1 from labels_ where t
    from s join g using (date) cross join combo join lim l1 on l1.b = ta join lim l2 on l2.b = tb)
  select split_id::bigint as split_id, ticker, role, count(*) as n, sum(datediff('day', date '1970-01-01', date))::bigint as day_sum from r where role is not null group by all"""
 
+CPCV = f"""{BASE}, {SCORED}, g as (select date, ntile(6) over (order by date) - 1 as b from (select distinct date from scored)),
+ combo as (select * from (values {", ".join(f"({i}, {a}, {c})" for i, (a, c) in enumerate(_PAIRS))}) t(split_id, ta, tb)),
+ te as (select split_id::bigint as split_id, scored.ticker, scored.date, score, label, fwd_ret from scored join g using (date) join combo on b = ta or b = tb),
+ rk as (select split_id, label, {avg_rank("score", "split_id")} as r from te),
+ au as (select split_id, count(*) as n, sum(label)::double as n1, count(*) - sum(label)::double as n0, sum(case when label = 1 then r end) as s from rk group by split_id),
+ med as (select split_id, date, quantile_cont(score, 0.5) as m from te group by all having count(*) >= 4),
+ sens as (select split_id, date, avg(case when score > m then fwd_ret end) - avg(case when score < m then fwd_ret end) as ls from te join med using (split_id, date) group by all),
+ sh as (select split_id, avg(ls) / nullif(stddev_samp(ls), 0) as sharpe from sens where ls is not null group by split_id),
+ grid as (select split_id, date from (select split_id, date, row_number() over (partition by split_id order by date) - 1 as pos from (select distinct split_id, date from te)) where pos % 10 = 0),
+ on_ as (select te.* from te join grid using (split_id, date)),
+ qs as (select split_id, date, quantile_cont(score, 0.5) as m from on_ group by all having count(*) >= 4),
+ legs as (select on_.*, m, count_if(score >= m) over (partition by split_id, date) as nl, count_if(score <= m) over (partition by split_id, date) as ns from on_ join qs using (split_id, date)),
+ held as (select split_id, dense_rank() over (partition by split_id order by date) as k, ticker, case when score <= m then -0.5::double / ns else 0.5::double / nl end as w, fwd_ret as ret from legs where nl > 0 and ns > 0),
+ tops as (select split_id, max(k) as top from held group by split_id),
+ moved as (select split_id, k, ticker, sum(w) as dw from (select split_id, k, ticker, w from held union all select split_id, k + 1, ticker, -w from held) group by all),
+ adv as (select ticker, quantile_cont(dv, 0.5) as adv from x group by ticker),
+ paid as (select split_id, k, sum(abs(dw) * (10.0::double + 0.025::double * sqrt(case when adv > 0 then abs(dw) * 2e7::double / adv else 0.01 end) * 1e4) / 1e4) as cost
+   from moved join tops using (split_id) left join adv using (ticker) where dw <> 0 and k <= top group by all),
+ earned as (select split_id, k, sum(coalesce(w * ret, 0)) as gross from held group by all),
+ net as (select split_id, avg(gross) / nullif(stddev_samp(gross), 0) as sharpe_gross, avg(gross - coalesce(cost, 0)) / nullif(stddev_samp(gross - coalesce(cost, 0)), 0) as sharpe_net, count(*) as rebalances
+   from earned left join paid using (split_id, k) group by split_id),
+ per_split as (select au.split_id, (s - n1 * (n1 + 1) / 2) / nullif(n1 * n0, 0) as auc, n, sharpe, sharpe_gross, sharpe_net, rebalances from au left join sh using (split_id) left join net using (split_id))"""
 _FULL = {
     "mom_21": f"close / lag(close, 21) over ({W}) - 1",
     "vol_21": roll("stddev_samp", "lr", 21),
@@ -291,6 +313,30 @@ ORACLES: dict[str, str] = {
 }
 
 
+ORACLES["cpcv_results"] = f"{CPCV} select split_id, n, rebalances, {cols('auc', 'sharpe', 'sharpe_gross', 'sharpe_net')} from per_split"
+ORACLES["cpcv_evaluation"] = f"""{CPCV}, mean_sr as (select avg(sharpe) as sharpe from per_split), pooled as (select ls from sens where ls is not null),
+    shape as (select skewness(ls) as skew, kurtosis(ls) + 3 as kurt from pooled),
+    ne as (select greatest(count(distinct date) // 10, 1)::bigint as n_eff from te),
+    tr as (select count(*) as trials, count(*)::double as _n, var_samp(v) as _var from (select sharpe as v from mean_sr union all select * from (values {", ".join(f"({v!r}::double)" for _, v in SEEDS)}) t(v))),
+    one as (select 'momentum' as config, avg(auc) as auc, stddev_pop(auc) as auc_std, min(auc) as auc_low, max(auc) as auc_high, avg((auc > 0.5)::int::double) as above_half, avg(sharpe) as sharpe,
+      stddev_pop(sharpe) as sharpe_std, avg(sharpe_gross) as sharpe_gross, avg(sharpe_net) as sharpe_net, count(auc) as splits from per_split),
+    al as (select *, n_eff::double as nd, {expected_best_sql("_var", "_n")} as sr_star from one cross join shape cross join ne cross join tr)
+    select config, splits, n_eff, trials, {cols('auc', 'auc_std', 'auc_low', 'auc_high', 'above_half', 'sharpe', 'sharpe_std', 'sharpe_gross', 'sharpe_net', 'skew', 'kurt')},
+      round({psr_sql("sharpe", "sr_star", "nd", "skew", "kurt")}, 6) as dsr from al"""
+_TILT = ORACLES["fundamental_tilt"].rpartition("select date, round(gross, 6) as gross")[0]
+ORACLES["tilt_summary"] = f"""{_TILT.rstrip()}, tilt as (select gross, gross - coalesce(cost, 0) as net from earned left join paid using (k)),
+    summ as (select count(*) as n, count(*)::double as nd, avg(gross) / nullif(stddev_samp(gross), 0) as sharpe_gross, avg(net) / nullif(stddev_samp(net), 0) as sharpe, skewness(net) as skew, kurtosis(net) + 3 as kurt from tilt),
+    tr as (select count(*)::double as _n, var_samp(v) as _var from (select sharpe as v from summ union all select * from (values {", ".join(f"({v!r}::double)" for _, v in SEEDS)}) t(v))),
+    al as (select *, {expected_best_sql("_var", "_n")} as sr_star from summ cross join tr)
+    select n as rebalances, round(sharpe_gross, 6) as sharpe_gross, round(sharpe, 6) as sharpe_net, round(sharpe * 2.0::double, 6) as annualised,
+      round({psr_sql("sharpe", lit(0), "nd", "skew", "kurt")}, 6) as psr, round({psr_sql("sharpe", "sr_star", "nd")}, 6) as dsr, sharpe > 0 as success from al"""
+ORACLES["quarterly_panel"] = f"""{BASE}{ASOF}, v as (select *, close / lag(close, 21) over ({W}) - 1 as mom_21, {roll("stddev_samp", "lr", 21)} as vol_21, lead(close, 63) over ({W}) / close - 1 as fwd_ret from factors),
+    r as (select *, {pct("mom_21")} as mom_21_rank, {pct("vol_21")} as vol_21_rank from v),
+    grid as (select date from (select date, row_number() over (order by date) - 1 as pos from (select distinct date from bars)) where pos % 63 = 0)
+    select ticker, date, {cols("fwd_ret", "mom_21", "mom_21_rank", "vol_21", "vol_21_rank", "earnings_yield", "book_to_price", "profit_margin", "div_yield")} from r where date in (select date from grid)
+      and fwd_ret is not null and mom_21 is not null and vol_21 is not null and earnings_yield is not null and book_to_price is not null and profit_margin is not null and div_yield is not null"""
+
+
 def _matrix() -> str:
     parts = ("triple_barrier", "fracdiff_close", "fracdiff_vol", "rsi", "momentum", "amihud", "roll_spread", "dollar_vol_z", "turnover_accel", "cusum_vol", "explosivity", "vol_regime", "fund_factors", "cs_pct_rank")
     names = "label fd_close fd_vol21 rsi_14 mom_21 amihud roll_spread dollar_vol_z turnover_accel cusum_vol explosivity vol_regime earnings_yield book_to_price profit_margin div_yield mom_5_rank mom_21_rank"
