@@ -325,6 +325,12 @@ def auc_mann_whitney(spark, sf_dir):
     return rounded(stats.auc(labeled_score(spark, sf_dir)), "auc", "n")
 
 
+@query
+def mean_t_stat(spark, sf_dir):
+    per = stats.auc(labeled_score(spark, sf_dir), "score", "label", "ticker")
+    return per.agg(F.round(stats.t_stat("auc"), 6).alias("t"), F.count("auc").alias("n"))
+
+
 @query
 def accuracy(spark, sf_dir):
     return rounded(stats.accuracy(labeled_score(spark, sf_dir)), "accuracy", "base_rate")
@@ -367,6 +373,15 @@ def json_scan(spark, sf_dir):
     return readers.price_envelope(one.select(text.alias("value"))).select("ticker", "date", "close", "volume")
 
 
+@query
+def rest_scan(spark, sf_dir):
+    b = d.bars(spark, sf_dir, True).withColumn("adjustedClose", F.col("close"))
+    bar = F.struct(F.unix_timestamp(F.col("date").cast("timestamp")).alias("date"), "open", "high", "low", "close", "adjustedClose", "volume")
+    one = b.groupBy("ticker").agg(F.collect_list(bar).alias("historicalDataPrice"))
+    text = F.to_json(F.struct(F.col("ticker").alias("symbol"), "historicalDataPrice"))
+    return readers.price_rest(one.select(text.alias("value"))).select("ticker", "date", "open", "close", "volume")
+
+
 @query
 def event_props(spark, sf_dir):
     e = d.table(spark, sf_dir, "events")

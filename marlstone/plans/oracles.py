@@ -308,11 +308,13 @@ ORACLES: dict[str, str] = {
         old as (select 'L0' as name, 0.5::double as sharpe union all select * from (values {", ".join(f"('{n}', {v!r}::double)" for n, v in SEEDS if n != "L0")}) t(name, sharpe))
         select * from new union all select * from old where name not in (select name from new)""",
     "fixed_width_scan": f"{BASE} select ticker, date, cast(round(close * 100) as bigint) / 100.0::double as close, volume::bigint as volume from bars",
+    "rest_scan": f"{BASE} select ticker, date, open, close, volume from bars",
     "json_scan": f"{BASE} select ticker, date, close, volume from bars",
     "event_props": "select event_id, (props->>'$.k')::bigint as k from events",
 }
 
 
+ORACLES["mean_t_stat"] = ORACLES["path_dispersion"].rpartition("select round(avg(auc)")[0] + "select round(avg(auc) / (stddev_samp(auc) / sqrt(count(auc)::double)), 6) as t, count(auc) as n from b"
 ORACLES["cpcv_results"] = f"{CPCV} select split_id, n, rebalances, {cols('auc', 'sharpe', 'sharpe_gross', 'sharpe_net')} from per_split"
 ORACLES["cpcv_evaluation"] = f"""{CPCV}, mean_sr as (select avg(sharpe) as sharpe from per_split), pooled as (select ls from sens where ls is not null),
     shape as (select skewness(ls) as skew, kurtosis(ls) + 3 as kurt from pooled),
