@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 _DOUBLE_GAP = r"[\s\x0b\pZ\x{85}\x{1c}-\x{1f}]{2}|\x00"
 #: Characters that the splitter and the tokenizer's pattern may not both count as white space, or the marker.
 _ODD_SPACE = r"[\x{1c}-\x{1f}\x{180e}\x00]"
+#: Letters that are a word to both patterns and whole in Unicode's composed form, and ASCII punctuation after them.
+_PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]*)").fullmatch
 #: Marks a word without a space before it; twice, the end of a text.
 _MARK = "\0"
 
@@ -29,9 +31,10 @@ class WordCachedEncoder:
 
     Both vocabularies cut a text into words by a pattern before merging, and no word reaches over a white space that
     stands between two other characters, except that byte-level words carry the space before them. So a text's ids are
-    the joined ids of its words, and most words come from the cache. Texts whose white space is not of that simple kind,
-    and texts that hold an added token such as ``<|endoftext|>``, go to the library whole. The cache holds two
-    generations of ``capacity`` words: it never grows with the data.
+    the joined ids of its words, and most words come from the cache. Words of Latin letters, with or without punctuation
+    after them, need neither the normaliser nor the pattern: their letters go to the merges at once. Texts whose white
+    space is not of that simple kind, and texts that hold an added token such as ``<|endoftext|>``, go to the library
+    whole. The cache holds two generations of ``capacity`` words: it never grows with the data.
     """
 
     def __init__(self, path: str, spaces_kept: bool, end_id: int, capacity: int = 500_000):
@@ -41,6 +44,10 @@ class WordCachedEncoder:
         added = sorted(t.content for t in self.tok.get_added_tokens_decoder().values())
         self.whole = "|".join([_DOUBLE_GAP if spaces_kept else _ODD_SPACE, *(f"(?i:{re.escape(t)})" for t in added)])
         self.spaces_kept, self.capacity = spaces_kept, capacity
+        self.merged = self.tok.model.tokenize
+        own = [b for b in range(256) if chr(b).isprintable() and chr(b) != " "]  # the others move beyond 255, in order
+        moved = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(own)))}
+        self.bytes = {b: moved.get(b, b) for b in range(256)}
         self.end = np.array([end_id], dtype="<u4")
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -61,9 +68,39 @@ class WordCachedEncoder:
             out += [blob[x:y] for x, y in zip([0, *cut], cut)]
         return out
 
+    def _held(self, word: str) -> bytes | None:
+        blob = self.words.get(word)
+        return self.older.get(word) if blob is None else blob
+
+    def _letters(self, stem: str) -> bytes:
+        """Ids of a word of Latin letters."""
+        stem = stem if self.spaces_kept else stem.lower()
+        blob = self._held(stem)
+        if blob is None:
+            spelt = (" " + stem if self.spaces_kept else stem).encode().decode("latin-1").translate(self.bytes)
+            blob = array("I", [t.id for t in self.merged(spelt)]).tobytes()
+            self.words[stem] = blob
+        return blob
+
+    def _tail(self, tail: str) -> bytes:
+        """Ids of punctuation that stands right after letters."""
+        word = _MARK + tail if self.spaces_kept else tail
+        blob = self._held(word)
+        if blob is None:
+            self.words[word] = blob = self._ids([tail])[0]
+        return blob
+
     def _learn(self, new: list[str]) -> None:
-        plain = [w for w in new if w and w.isprintable()]
-        odd = [w for w in new if not (w and w.isprintable())]
+        plain, odd = [], []
+        for w in new:
+            parts = _PLAIN(w)
+            if parts:
+                stem, tail = parts.groups()
+                self.words[w] = self._letters(stem) + self._tail(tail) if tail else self._letters(stem)
+            elif w and w.isprintable():
+                plain.append(w)
+            else:
+                odd.append(w)
         self.words.update(zip(plain, self._word_ids(plain)))
         bare = lambda w: not self.spaces_kept or w[:1] in ("\n", _MARK)
         self.words.update(zip(odd, self._ids([w.strip(_MARK) if bare(w) else " " + w for w in odd])))
@@ -105,15 +142,13 @@ class WordCachedEncoder:
         else:
             cut = pc.utf8_split_whitespace(pc.binary_join_element_wise(body, _large(_MARK * 2), _large(" ")))
         words = cut.flatten().dictionary_encode()
-        code = words.indices.to_numpy()
-        blobs = self._lookup(words.dictionary.to_pylist())
+        blobs = self._lookup(words.dictionary.to_numpy(zero_copy_only=False).tolist())
         size = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 4
-        flat, start = np.frombuffer(b"".join(blobs), dtype="<u4"), np.cumsum(size) - size
-        n = size[code]
-        stop = np.cumsum(n)
-        total = int(stop[-1]) if len(stop) else 0
-        ids = flat[np.repeat(start[code] - (stop - n), n) + np.arange(total)]
-        ends = np.concatenate(([0], stop))[cut.offsets.to_numpy()[1:] - cut.offsets[0].as_py()]
+        flat = pa.array(np.frombuffer(b"".join(blobs), dtype="<u4"))
+        known = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size)))), flat)
+        spelt = known.take(words.indices)
+        ids = spelt.flatten().to_numpy()
+        ends = spelt.offsets.to_numpy()[cut.offsets.to_numpy()[1:] - cut.offsets[0].as_py()]
         if some_odd:
             parts = np.split(ids, ends[:-1])
             which = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
