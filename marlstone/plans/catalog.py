@@ -398,7 +398,7 @@ def _by_momentum(train, test):
 
 def _evaluated(spark, sf_dir):
     data = materialise(labeled_score(spark, sf_dir).withColumnRenamed("score", "mom_21_rank").select("ticker", "date", "t1", "label", "fwd_ret", "mom_21_rank"), "evaluated")
-    return models.split_scores(data, _by_momentum)
+    return models.split_scores(data, _by_momentum, learns=False)
 
 
 @query
