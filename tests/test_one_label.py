@@ -31,7 +31,7 @@ def late_labels(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["cpcv_results"])
+@pytest.mark.parametrize("name", ["cpcv_results", "cpcv_evaluation"])
 def test_splits_with_one_label_match_sql(name, spark, late_labels):
     con = duckdb.connect()
     for t in ("lineitem", "part"):
