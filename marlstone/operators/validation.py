@@ -63,9 +63,9 @@ def split_numbers(groups: int = DEFAULT.groups, test: int = DEFAULT.test_groups)
     return list(range(comb(groups, test)))
 
 
-def roles(samples: DataFrame, **how) -> DataFrame:
+def roles(samples: DataFrame, groups: int = DEFAULT.groups, test: int = DEFAULT.test_groups, embargo: int = DEFAULT.embargo) -> DataFrame:
     """(split_id, role) for each row of ``samples`` (see :func:`split_roles`): train or test, other rows are left out."""
-    tagged = split_roles(samples, **how)
+    tagged = split_roles(samples, groups, test, embargo)
     each = lambda c, role: F.transform(c, lambda s: F.struct(s.cast("int").alias("split_id"), F.lit(role).alias("role")))
     both = F.concat(each("train_in", "train"), each("test_in", "test"))
     return tagged.withColumn("_s", F.explode(both)).select(*samples.columns, "_s.split_id", "_s.role")
