@@ -412,7 +412,7 @@ def cpcv_results(spark, sf_dir):
 def cpcv_evaluation(spark, sf_dir):
     scored = _evaluated(spark, sf_dir)
     results = models.split_results(scored, materialise(books.median_adv(d.bars(spark, sf_dir)), "adv"))
-    out, _ = models.evaluation(scored, results, spark.createDataFrame([], trials.SCHEMA), "momentum")
+    out, _ = models.evaluation(scored, results, spark.createDataFrame([], trials.SCHEMA), "momentum", learns=False)
     return rounded(out, "config", "auc", "auc_std", "auc_low", "auc_high", "above_half", "sharpe", "sharpe_std", "sharpe_gross", "sharpe_net", "splits", "skew", "kurt", "n_eff", "trials", "dsr")
 
 
