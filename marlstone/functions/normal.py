@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 # Numerator and denominator of Hart's rational approximation of the upper tail.
 _NUM = (220.206867912376, 221.213596169931, 112.079291497871, 33.912866078383, 6.37396220353165, 0.700383064443688, 0.0352624965998911)
 _DEN = (440.413735824752, 793.826512519948, 637.333633378831, 296.564248779674, 86.7807322029461, 16.064177579207, 1.75566716318264, 0.0883883476483184)
@@ -37,10 +40,31 @@ def cdf(x: str) -> str:
 
 def ppf(p: str) -> str:
     """SQL text of the standard normal quantile of the double expression ``p`` in (0, 1)."""
-    q = f"(({p}) - {lit(0.5)})"
-    r0 = f"({lit(0.180625)} - {q} * {q})"
+    q = _off_centre(p)
+    return _quantile(q, _near_centre(q), _far_off(p, q))
+
+
+def _off_centre(p: str) -> str:
+    return f"(({p}) - {lit(0.5)})"
+
+
+def _near_centre(q: str) -> str:
+    return f"({lit(0.180625)} - {q} * {q})"
+
+
+def _far_off(p: str, q: str) -> str:
+    return f"sqrt(-ln(case when {q} < {lit(0)} then ({p}) else {lit(1)} - ({p}) end))"
+
+
+def _quantile(q: str, r0: str, r1: str) -> str:
     centre = f"{q} * {_poly(r0, _A)} / {_poly(r0, _B)}"
-    r1 = f"sqrt(-ln(case when {q} < {lit(0)} then ({p}) else {lit(1)} - ({p}) end))"
     mid, tail = f"({r1} - {lit(1.6)})", f"({r1} - {lit(5)})"
     outer = f"(case when {r1} <= {lit(5)} then {_poly(mid, _C)} / {_poly(mid, _D)} else {_poly(tail, _E)} / {_poly(tail, _F)} end)"
     return f"(case when abs{q} <= {lit(0.425)} then {centre} when {q} < {lit(0)} then -{outer} else {outer} end)"
+
+
+def with_ppf(df: DataFrame, p: str, name: str) -> DataFrame:
+    """:func:`ppf` of column ``p`` by way of columns: its text writes its parts out dozens of times."""
+    df = df.withColumn("_q", F.expr(_off_centre(p)))
+    df = df.withColumns({"_r0": F.expr(_near_centre("(_q)")), "_r1": F.expr(_far_off(p, "(_q)"))})
+    return df.withColumn(name, F.expr(_quantile("(_q)", "_r0", "_r1"))).drop("_q", "_r0", "_r1")

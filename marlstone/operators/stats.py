@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import average_rank, nonzero, shielded
-from ..functions.normal import cdf, lit, ppf
+from ..functions.normal import cdf, lit, ppf, with_ppf
 from ..session import materialise
 
 EULER = 0.5772156649015329
@@ -51,22 +51,43 @@ def t_stat(x: str) -> Column:
     return F.avg(x) / nonzero(F.stddev_samp(x) / F.sqrt(F.count(x).cast("double")))
 
 
+def _under_sql(sr: str, skew: str, kurt: str) -> str:
+    return f"({lit(1)} - ({skew}) * ({sr}) + (({kurt}) - {lit(1)}) / {lit(4)} * ({sr}) * ({sr}))"
+
+
+def _z_sql(sr: str, bench: str, n: str, under: str) -> str:
+    return f"((({sr}) - ({bench})) * sqrt(case when ({n}) > 1 then ({n}) - {lit(1)} end) / sqrt(case when {under} > {lit(0)} then {under} end))"
+
+
 def psr_sql(sr: str, bench: str, n: str, skew: str = lit(0), kurt: str = lit(3)) -> str:
     """SQL text of the probabilistic Sharpe ratio."""
-    under = f"({lit(1)} - ({skew}) * ({sr}) + (({kurt}) - {lit(1)}) / {lit(4)} * ({sr}) * ({sr}))"
-    z = f"((({sr}) - ({bench})) * sqrt(case when ({n}) > 1 then ({n}) - {lit(1)} end) / sqrt(case when {under} > {lit(0)} then {under} end))"
+    z = _z_sql(sr, bench, n, _under_sql(sr, skew, kurt))
     return f"(case when {z} is not null then {cdf(z)} end)"
 
 
+def _best_sql(var: str, first: str, second: str) -> str:
+    return f"(sqrt({var}) * ({lit(1 - EULER)} * {first} + {lit(EULER)} * {second}))"
+
+
+def _first_sql(n: str) -> str:
+    return f"{lit(1)} - {lit(1)} / ({n})"
+
+
+def _second_sql(n: str) -> str:
+    return f"{lit(1)} - {lit(1)} / (({n}) * {lit(2.718281828459045)})"
+
+
 def expected_best_sql(var: str, n: str) -> str:
     """SQL text of the expected best Sharpe of ``n`` null trials whose variance is ``var``."""
-    first = ppf(f"{lit(1)} - {lit(1)} / ({n})")
-    second = ppf(f"{lit(1)} - {lit(1)} / (({n}) * {lit(2.718281828459045)})")
-    return f"(sqrt({var}) * ({lit(1 - EULER)} * {first} + {lit(EULER)} * {second}))"
+    return _best_sql(var, ppf(_first_sql(n)), ppf(_second_sql(n)))
 
 
+@shielded
 def probabilistic_sharpe(df: DataFrame, sr: str, n: str, bench: str = lit(0), skew: str = lit(0), kurt: str = lit(3), name: str = "psr") -> DataFrame:
-    return df.withColumn(name, F.expr(psr_sql(sr, bench, n, skew, kurt)))
+    """:func:`psr_sql` by way of columns: as one text its parts are written out dozens of times, which the parser, the plan
+    and the generated code then hold."""
+    df = df.withColumn("_under", F.expr(_under_sql(sr, skew, kurt))).withColumn("_z", F.expr(_z_sql(sr, bench, n, "_under")))
+    return df.withColumn(name, F.expr(f"case when _z is not null then {cdf('_z')} end")).drop("_under", "_z")
 
 
 def deflated_sharpe(df: DataFrame, trials: DataFrame, sr: str, n: str, skew: str = lit(0), kurt: str = lit(3), name: str = "dsr") -> DataFrame:
@@ -74,10 +95,13 @@ def deflated_sharpe(df: DataFrame, trials: DataFrame, sr: str, n: str, skew: str
     spread = trials.where("sharpe is not null and not isnan(sharpe)").agg(
         F.count(F.lit(1)).cast("double").alias("_n"), F.var_samp("sharpe").alias("_var")
     )
-    bench = f"(case when _n >= 2 and _var > 0 then {expected_best_sql('_var', '_n')} end)"
+    some = "case when _n >= 2 then _n end"
+    spread = spread.withColumns({"_first": F.expr(_first_sql(some)), "_second": F.expr(_second_sql(some))})
+    spread = with_ppf(with_ppf(spread, "_first", "_first"), "_second", "_second")
+    bench = f"(case when _n >= 2 and _var > 0 then {_best_sql('_var', '_first', '_second')} end)"
     spread = spread.withColumn("sr_star", F.expr(bench)).withColumn("_k", F.lit(1))
-    both = df.withColumn("_k", F.lit(1)).join(F.broadcast(spread), "_k").drop("_k", "_n", "_var")  # one row
-    return both.withColumn(name, F.expr(psr_sql(sr, "sr_star", n, skew, kurt)))
+    both = df.withColumn("_k", F.lit(1)).join(F.broadcast(spread), "_k").drop("_k", "_n", "_var", "_first", "_second")  # one row
+    return probabilistic_sharpe(both, sr, n, "sr_star", skew, kurt, name)
 
 
 def psr_value(sr: float, bench: float, n: float, skew: float = 0.0, kurt: float = 3.0) -> float | None:

@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from test_queries import rows
 
 import __spark_entry__ as spec
@@ -45,3 +46,11 @@ def test_a_model_without_sharpe_is_no_trial(spark):
     out, log = models.evaluation(scored, results, spark.createDataFrame([], trials.SCHEMA), "model")
     got = out.first()
     assert (got.n_eff, got.trials, got.skew, got.kurt, got.dsr, log.count()) == (0, 4, 0.0, 3.0, None, 4)
+
+
+def test_a_function_that_learns_nothing_is_called_once(spark):
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(60)]
+    data = spark.createDataFrame([("A", d, d, 0) for d in days], "ticker string, date date, t1 date, label int")
+    calls = []
+    got = models.split_scores(data, lambda train, test: calls.append(1) or test.withColumn("score", F.lit(0.5)), learns=False, embargo=1)
+    assert (len(calls), got.count(), got.select("split_id").distinct().count()) == (1, 5 * 60, 15)
