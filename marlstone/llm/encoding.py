@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import begin, kept, release
+
 #: Texts with two white-space characters side by side, or with the marker below, are encoded whole (byte-level words).
 _DOUBLE_GAP = r"[\s\x0b\pZ\x{85}\x{1c}-\x{1f}]{2}|\x00"
 #: Characters that the splitter and the tokenizer's pattern may not both count as white space, or the marker.
@@ -158,7 +160,8 @@ class WordCachedEncoder:
         return ids, ends
 
 
-@lru_cache(maxsize=2)
+@kept
+@lru_cache(maxsize=1)
 def encoder(path: str, spaces_kept: bool, end_id: int) -> WordCachedEncoder:
     """One encoder per Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -170,6 +173,7 @@ def encoded_batches(batches, column: str, path: str, spaces_kept: bool, end_id:
 
     Each text is followed by ``end_id``; null counts as empty.
     """
+    begin(encoder)
     enc = encoder(path, spaces_kept, end_id)
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
@@ -178,5 +182,6 @@ def encoded_batches(batches, column: str, path: str, spaces_kept: bool, end_id:
         while at < len(texts):
             to = max(at + 1, int(np.searchsorted(held, (held[at - 1] if at else 0) + bytes_at_once, "right")))
             ids, ends = enc.encode(texts.slice(at, to - at))
+            release()  # what encoding took on its way is more than its result
             yield batch.slice(at, to - at), ids, ends
             at = to
