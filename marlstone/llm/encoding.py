@@ -18,10 +18,14 @@ from .common import begin, kept, release
 _DOUBLE_GAP = r"[\s\x0b\pZ\x{85}\x{1c}-\x{1f}]{2}|\x00"
 #: Characters that the splitter and the tokenizer's pattern may not both count as white space, or the marker.
 _ODD_SPACE = r"[\x{1c}-\x{1f}\x{180e}\x00]"
-#: Letters that are a word to both patterns and whole in Unicode's composed form, and ASCII punctuation after them.
-_PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]*)").fullmatch
 #: Marks a word without a space before it; twice, the end of a text.
 _MARK = "\0"
+#: Letters that are a word to both patterns and whole in Unicode's composed form.
+_LATIN = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]"
+#: A word of them, and ASCII punctuation after it.
+_PLAIN = re.compile(rf"(\0?{_LATIN}+)([!-/:-@\[-`{{-~]*)").fullmatch
+#: Punctuation that is a word of its own, as one of them stands before it and a space after it.
+_STOP = "(" + re.sub(r"\\x(..)", r"\\x{\1}", _LATIN) + ")([.,]) "
 
 
 def _large(text: str) -> pa.Scalar:
@@ -34,7 +38,8 @@ class WordCachedEncoder:
     Both vocabularies cut a text into words by a pattern before merging, and no word reaches over a white space that
     stands between two other characters, except that byte-level words carry the space before them. So a text's ids are
     the joined ids of its words, and most words come from the cache. Words of Latin letters, with or without punctuation
-    after them, need neither the normaliser nor the pattern: their letters go to the merges at once. Texts whose white
+    after them, need neither the normaliser nor the pattern: their letters go to the merges at once, byte-level ones many
+    in a call, and there a line's end and a stop or comma after such a word are words of their own. Texts whose white
     space is not of that simple kind, and texts that hold an added token such as ``<|endoftext|>``, go to the library
     whole. The cache holds two generations of ``capacity`` words: it never grows with the data.
     """
@@ -50,6 +55,10 @@ class WordCachedEncoder:
         own = [b for b in range(256) if chr(b).isprintable() and chr(b) != " "]  # the others move beyond 255, in order
         moved = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(own)))}
         self.bytes = {b: moved.get(b, b) for b in range(256)}
+        if spaces_kept:
+            vocab, space = self.tok.get_vocab(), chr(self.bytes[32])
+            self.leads = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids that begin with a space
+            self.leads[[i for t, i in vocab.items() if t.startswith(space)]] = True
         self.end = np.array([end_id], dtype="<u4")
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -75,15 +84,31 @@ class WordCachedEncoder:
         return self.older.get(word) if blob is None else blob
 
     def _letters(self, stem: str) -> bytes:
-        """Ids of a word of Latin letters."""
+        """Ids of a word of Latin letters, or of the mark and Latin letters."""
         stem = stem if self.spaces_kept else stem.lower()
         blob = self._held(stem)
         if blob is None:
-            spelt = (" " + stem if self.spaces_kept else stem).encode().decode("latin-1").translate(self.bytes)
+            spelt = stem.strip(_MARK) if not self.spaces_kept or stem[0] == _MARK else " " + stem
+            spelt = spelt.encode().decode("latin-1").translate(self.bytes)
             blob = array("I", [t.id for t in self.merged(spelt)]).tobytes()
             self.words[stem] = blob
         return blob
 
+    def _learn_stems(self, stems: list[str], together: int = 32) -> None:
+        """Words of Latin letters that carry the space before them, many in a call of the merges. Each must begin with an
+        id that begins with a space: then no merge has reached over two words, and the ids are those of each alone."""
+        ids = array("I")
+        for i in range(0, len(stems), together):
+            spelt = (" " + " ".join(stems[i : i + together])).encode().decode("latin-1").translate(self.bytes)
+            ids.extend([t.id for t in self.merged(spelt)])
+        first = np.flatnonzero(self.leads[np.array(ids, dtype=np.int64)])
+        if len(first) != len(stems):
+            for w in stems:
+                self._letters(w)
+            return
+        blob, cut = ids.tobytes(), [*(4 * first).tolist(), 4 * len(ids)]
+        self.words.update(zip(stems, [blob[x:y] for x, y in zip(cut, cut[1:])]))
+
     def _tail(self, tail: str) -> bytes:
         """Ids of punctuation that stands right after letters."""
         word = _MARK + tail if self.spaces_kept else tail
@@ -93,16 +118,21 @@ class WordCachedEncoder:
         return blob
 
     def _learn(self, new: list[str]) -> None:
-        plain, odd = [], []
+        stems, parted, plain, odd = [], [], [], []
         for w in new:
-            parts = _PLAIN(w)
-            if parts:
-                stem, tail = parts.groups()
-                self.words[w] = self._letters(stem) + self._tail(tail) if tail else self._letters(stem)
+            if self.spaces_kept and w.isascii() and w.isalpha():
+                stems.append(w)
+            elif parts := _PLAIN(w):
+                parted.append(parts)
             elif w and w.isprintable():
                 plain.append(w)
             else:
                 odd.append(w)
+        if stems:
+            self._learn_stems(stems)
+        for parts in parted:
+            stem, tail = parts.groups()
+            self.words[parts[0]] = self._letters(stem) + self._tail(tail) if tail else self._letters(stem)
         self.words.update(zip(plain, self._word_ids(plain)))
         bare = lambda w: not self.spaces_kept or w[:1] in ("\n", _MARK)
         self.words.update(zip(odd, self._ids([w.strip(_MARK) if bare(w) else " " + w for w in odd])))
@@ -139,7 +169,9 @@ class WordCachedEncoder:
         some_odd = pc.any(odd).as_py()
         body = pc.if_else(odd, _large(""), texts) if some_odd else texts
         if self.spaces_kept:
-            body = pc.binary_join_element_wise(_large(_MARK), pc.replace_substring(body, "\n", " \n"), _large(""))
+            body = pc.replace_substring(body, "\n", f" \n {_MARK}")
+            body = pc.replace_substring_regex(body, _STOP, rf"\1 {_MARK}\2 ")
+            body = pc.binary_join_element_wise(_large(_MARK), body, _large(""))
             cut = pc.split_pattern(pc.binary_join_element_wise(body, _large(_MARK * 2), _large(" ")), " ")
         else:
             cut = pc.utf8_split_whitespace(pc.binary_join_element_wise(body, _large(_MARK * 2), _large(" ")))
