@@ -66,60 +66,69 @@ def _choose(pairs: np.ndarray, counts: np.ndarray, top: int, head: int = 256) ->
     return np.where(first == second, part[first] == 3, (part[first] == 1) & (part[second] == 2))
 
 
-def _counted(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    ordered = np.sort(pairs)
-    edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, dtype=np.int64)
-    return ordered[edge], np.diff(edge, append=len(ordered))
+def _by_pair(seq: np.ndarray, at: np.ndarray, top: int):
+    """The pairs at places ``at``, sorted: (distinct pairs, how often each stands, places grouped by pair)."""
+    wide, room = top.bit_length(), len(seq).bit_length()
+    if 2 * wide + room < 64:  # pair and place fit into one number, which sorts several times faster than an index
+        key = seq[at].astype(np.int64)
+        key <<= wide
+        key |= seq[at + 1]
+        key <<= room
+        key |= at
+        key.sort()
+        place = key & ((1 << room) - 1)
+        key >>= room
+        edge = np.flatnonzero(np.concatenate((at[:1] >= 0, key[1:] != key[:-1])))
+        pairs = (key[edge] >> wide << 32) | (key[edge] & ((1 << wide) - 1))
+    else:
+        key = (seq[at].astype(np.int64) << 32) | seq[at + 1]
+        order = np.argsort(key, kind="stable")
+        place, key = at[order], key[order]
+        edge = np.flatnonzero(np.concatenate((at[:1] >= 0, key[1:] != key[:-1])))
+        pairs = key[edge]
+    return pairs, np.diff(edge, append=len(key)), place
 
 
 def compress(ids: np.ndarray, doc_ends: np.ndarray, base: int, least: int = 8):
     """(symbols, rules, symbol count at each document's end).
 
     ``rules[k]`` are the two symbols that nonterminal ``base + k`` stands for. A pair's count never grows, so after the
-    first round only pairs with a symbol of the round before, and those that had to wait, can be frequent.
+    first round only pairs with a symbol of the round before, and those that had to wait, can be frequent: their places
+    are carried from round to round, and no others are looked at. Pairs of one symbol twice are looked for anew, as the
+    places where they may begin move when their run gets shorter.
     """
-    seq, ends = ids.astype(np.int64), doc_ends.astype(np.int64)
+    small = base + len(ids) < 1 << 31  # there are fewer rules than ids
+    seq, ends = ids.astype(np.int32 if small else np.int64), doc_ends.astype(np.int64)
     rules: list[np.ndarray] = []
-    fresh, top, waiting = 0, base, np.zeros(0, dtype=np.int64)
+    top, places = base, None
     while len(seq) > 1:
         inner = np.ones(len(seq) - 1, dtype=bool)
         inner[ends[ends < len(seq)] - 1] = False
         look = _beginnings(seq, inner)
-        if rules:
-            new = seq >= fresh
-            look &= new[:-1] | new[1:] | _may_hold(seq, waiting, top)
-        at = np.flatnonzero(look)
-        pair = (seq[at] << 32) | seq[at + 1]
-        found, count = _counted(pair)
+        if places is not None:
+            some = seq[:-1] == seq[1:]
+            for x in places:
+                some[x[x < len(some)]] = True
+            look &= some
+        pairs, count, place = _by_pair(seq, np.flatnonzero(look), top)
         often = count >= least
         if not often.any():
             break
-        found, count = found[often], count[often]
-        take = _choose(found, count, top)
-        chosen, waiting = found[take], found[~take]
-        may = np.flatnonzero(_may_hold(seq, chosen, top, at))
-        at, pair = at[may], pair[may]
-        slot = np.minimum(np.searchsorted(chosen, pair), len(chosen) - 1)
-        hit = chosen[slot] == pair
-        at, slot = at[hit], slot[hit]
-        seq[at] = top + slot
+        place, pairs, count = place[np.repeat(often, count)], pairs[often], count[often]
+        take = _choose(pairs, count, top)
+        rules.append(pairs[take])
+        hit = np.repeat(take, count)
+        at, waiting = place[hit], place[~hit]
+        seq[at] = np.repeat(np.arange(top, top + len(rules[-1]), dtype=seq.dtype), count[take])
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
-        ends = ends - np.searchsorted(at + 1, ends)
-        seq = seq[keep]
-        rules.append(chosen)
-        fresh, top = top, top + len(chosen)
+        before = np.zeros(len(seq) + 1, dtype=seq.dtype)
+        np.cumsum(keep, out=before[1:])
+        ends, seq, fresh = before[ends].astype(np.int64), seq[keep], before[at]
+        places = (fresh, fresh[fresh > 0] - 1, before[waiting[keep[waiting]]])
+        top += len(rules[-1])
     flat = np.concatenate(rules) if rules else np.zeros(0, dtype=np.int64)
-    return seq, np.stack((flat >> 32, flat & 0xFFFFFFFF), axis=1), ends
-
-
-def _may_hold(seq: np.ndarray, pairs: np.ndarray, top: int, at=slice(None, -1)) -> np.ndarray:
-    """For places ``at`` (all by default), whether the symbols there begin and end some of ``pairs``: a cheap filter."""
-    left, right = np.zeros(top, dtype=bool), np.zeros(top, dtype=bool)
-    left[pairs >> 32] = True
-    right[pairs & 0xFFFFFFFF] = True
-    after = slice(1, None) if isinstance(at, slice) else at + 1
-    return left[seq[at]] & right[seq[after]]
+    return seq.astype(np.int64), np.stack((flat >> 32, flat & 0xFFFFFFFF), axis=1), ends
 
 
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
